@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import bpe, langid, mixing, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_bpe": bpe.op5_bpe,
+    "op7_language_filters": langid.op7_language_filters,
+    "op8_secrets": secret_scan.op8_secrets,
     "op10_entropy_mixing": mixing.op10_entropy_mixing,
 }
 
