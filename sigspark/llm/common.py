@@ -139,6 +139,9 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return np.zeros(0, np.uint64)
     size = ends - starts
     total = int(size.sum())
+    if total > 1 << 20 and len(starts) > 1:  # long texts by halves, to bound memory
+        half = len(starts) // 2
+        return np.concatenate([hash_spans(data, starts[:half], ends[:half]), hash_spans(data, starts[half:], ends[half:])])
     first = np.cumsum(size) - size
     within = np.arange(total) - np.repeat(first, size)
     values = (data[within + np.repeat(starts, size)].astype(np.uint64) + np.uint64(1)) * powers64(int(size.max()))[within]

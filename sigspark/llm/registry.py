@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, secret_scan
+from . import bpe, langid, license_scan, mixing, secret_scan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_diagonals": license_scan.op1_license_diagonals,
+    "op4_simhash": simhash.op4_simhash,
     "op5_bpe": bpe.op5_bpe,
     "op7_language_filters": langid.op7_language_filters,
     "op8_secrets": secret_scan.op8_secrets,
