@@ -70,7 +70,7 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     sizes, so that it broadcasts a side only if it is small.
     """
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
