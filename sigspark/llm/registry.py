@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, langid, license_scan, mixing, prefix_hash, secret_scan, simhash, warc
+from . import bpe, hnsw, html_text, langid, license_scan, mixing, prefix_hash, secret_scan, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_diagonals": license_scan.op1_license_diagonals,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_prefix_fingerprints": prefix_hash.op6_prefix_fingerprints,
     "op7_language_filters": langid.op7_language_filters,
     "op8_secrets": secret_scan.op8_secrets,
+    "op9_hnsw": hnsw.op9_hnsw,
     "op10_entropy_mixing": mixing.op10_entropy_mixing,
 }
 
