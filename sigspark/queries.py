@@ -488,3 +488,181 @@ def track_order_checks(spark, sf_dir):
 def levels_round_trip(spark, sf_dir):
     rows = sg.events_mono(spark, sf_dir).select("idx", to_db(F.col("v")).alias("db"))
     return rounded(rows.withColumn("amplitude", from_db(F.col("db"))), "db", "amplitude")
+
+
+# --- kernels over blocks: rows only, but for the resampler ---------------------------------------
+def _taps() -> str:
+    from .functions.kernels import resampling_filter
+
+    return ", ".join(map(repr, resampling_filter(3, 2).tolist()))
+
+
+@query("resample_rational", f"""WITH {S}, h AS (SELECT unnest(range(61)) AS k, unnest([{_taps()}]) AS h), o AS (SELECT unnest(range(0, ((SELECT n FROM n) * 3 + 1) // 2)) AS m)
+SELECT m AS idx, {r6('sum(coalesce(s.v, 0) * h)')} AS v FROM o JOIN h ON (m * 2 + 30 - k) % 3 = 0 LEFT JOIN s ON s.idx = (m * 2 + 30 - k) // 3 AND m * 2 + 30 - k >= 0 GROUP BY 1""")
+def resample_rational(spark, sf_dir):
+    from .operators.blocks import resampled
+
+    return rounded(resampled(sg.events_mono(spark, sf_dir), 3, 2, 4096).select("idx", "v"), "v")
+
+
+@query("true_peak_cap")
+def true_peak_cap(spark, sf_dir):
+    from .operators.blocks import true_peaks
+    from .operators.transforms import album_peak_gain
+
+    samples = sg.events_by(spark, sf_dir, "event_type")
+    peaks = true_peaks(samples).withColumn("true_peak_db", to_db(F.col("true_peak")))
+    gains = album_peak_gain(samples, (KEY,), -0.5, -1.0, peaks.select(KEY, "true_peak_db"))
+    return rounded(gains.join(peaks, KEY).select(KEY, "gain_db", "true_peak_db"), "gain_db", "true_peak_db")
+
+
+@query("biquad_k_weight")
+def biquad_k_weight(spark, sf_dir):
+    from .operators.blocks import k_weighted
+
+    return rounded(k_weighted(lv.remove_dc(sg.events_mono(spark, sf_dir)), 8000).select("idx", "v"), "v")
+
+
+@query("subsonic_highpass")
+def subsonic_highpass(spark, sf_dir):
+    from .operators.blocks import subsonic
+
+    return rounded(subsonic(sg.events_mono(spark, sf_dir), 8000, 25.0, 24).select("idx", "v"), "v")
+
+
+@query("click_ladder")
+def click_ladder(spark, sf_dir):
+    from .operators.clicks import detect
+
+    return rounded(detect(lv.remove_dc(sg.events_mono(spark, sf_dir)), 8000, RUNGS, highpass=1500.0).drop(KEY), "peak")
+
+
+@query("clicks_confirmed")
+def clicks_confirmed(spark, sf_dir):
+    from .operators.clicks import confirm, detect
+
+    samples = lv.remove_dc(sg.events_mono(spark, sf_dir))
+    return rounded(confirm(samples, detect(samples, 8000, (3.0,), highpass=1500.0), 2.0).select("start_idx", "end_idx", "peak"), "peak")
+
+
+def _repaired(spark, sf_dir, method: str) -> DataFrame:
+    from .operators.clicks import repair
+
+    samples = sg.events_mono(spark, sf_dir)
+    events = ev.crackle(fr.curvature_ratio(samples, 41), 3.0, 3)
+    fixed = repair(samples, events, method, 0.75, order=11).withColumnRenamed("v", "repaired")
+    return rounded(samples.join(fixed, [KEY, "idx"]).where("abs(v - repaired) > 1e-12").select("idx", "v", "repaired"), "v", "repaired")
+
+
+@query("hermite_repair")
+def hermite_repair(spark, sf_dir):
+    return _repaired(spark, sf_dir, "hermite")
+
+
+@query("ar_repair")
+def ar_repair(spark, sf_dir):
+    return _repaired(spark, sf_dir, "ar")
+
+
+@query("acf_topk")
+def acf_topk(spark, sf_dir):
+    from .operators.blocks import periodicity
+
+    frames = _frames(spark, sf_dir)[1].select(KEY, "frame", F.col("db").alias("flux"))
+    rows = periodicity(frames, 1.0, 80, 40, 2.0, 30.0, (18.0,), 3)
+    return rows.select("window", F.posexplode("peaks").alias("place", "peak")).select("window", "place", "peak.period_seconds", F.round("peak.r", 6).alias("r"))
+
+
+@query("band_profile_fft")
+def band_profile_fft(spark, sf_dir):
+    from .operators.blocks import frame_bands
+
+    return rounded(frame_bands(sg.events_mono(spark, sf_dir), 100, 64, 32, [(1, 5), (5, 20), (20, 51)]).drop(KEY), "db")
+
+
+@query("spectral_frames")
+def spectral_frames(spark, sf_dir):
+    from .operators.blocks import spectral_frames as made
+
+    return rounded(made(sg.events_mono(spark, sf_dir), 100, 256).select("frame", "centroid", "flux"), "centroid", "flux")
+
+
+@query("analyze_document")
+def analyze_document(spark, sf_dir):
+    from .plans.analyzers import analyze
+
+    samples = sg.events_by(spark, sf_dir, "event_type").withColumn("channel", F.lit(0))
+    got = analyze(samples, 100, ["recording_info", "surface_noise", "silence", "dynamic_range", "clipping", "transients"], {"silence": {"margin_db": 2.0, "min_seconds": 0.2}})
+    return got.document().select(KEY, F.to_json("surface_noise").alias("surface_noise"), F.to_json("clipping").alias("clipping"), F.to_json("silence").alias("silence"))
+
+
+PLAN_TRACKS = [(1, 50, 450), (2, 450, 700), (3, 760, 990)]
+
+
+@query("execute_plan")
+def execute_plan(spark, sf_dir):
+    from .plans.executor import execute
+
+    samples = sg.events_by(spark, sf_dir, "event_type").withColumn("channel", F.lit(0)).where("idx < 1000")
+    plan = {
+        "source": {"sample_rate": 100, "channels": 1, "num_samples": 1000}, "prefilter": {"enabled": True, "dc_block": True}, "declick": {"enabled": False},
+        "decrackle": {"enabled": True, "threshold": 3.0}, "split": {"tracks": [{"index": i, "start_sample": a, "end_sample": b, "fade_in_ms": 100.0, "fade_out_ms": 200.0} for i, a, b in PLAN_TRACKS]},
+        "normalize": {"mode": "album_peak", "target_db": -1.0, "peak_ceiling_db": -0.5},
+    }
+    out = execute(samples, plan).tracks
+    return rounded(out.groupBy(KEY, "track_index").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("v")).alias("peak"), F.sum("v").alias("total")), "peak", "total")
+
+
+LINT_SQL = """WITH o AS (SELECT o_custkey AS id, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+t AS (SELECT id, i, (i - 1) * 400000 AS a, (i - 1) * 400000 + 44100 * (1 + k % 10) AS b, (k % 3) * 10.0 AS fi, (k % 5) * 400.0 AS fo, CASE WHEN k % 4 = 0 THEN NULL ELSE 'Title ' || (k % 2) END AS title FROM o),
+p AS (SELECT c_custkey AS id, 10.0 + c_custkey % 40 AS hz, c_custkey % 3 = 0 AS pre, c_custkey % 5 = 0 AS dec, 1 + c_custkey % 6 AS width, c_custkey % 7 <> 0 AS dcl, ['album_peak', 'album_rms', 'album_gated_rms', 'album_lufs', 'track_peak', 'none'][c_custkey % 6 + 1] AS mode,
+ -(c_custkey % 4)::DOUBLE AS target, CASE WHEN c_custkey % 3 <> 0 THEN -0.3 * (c_custkey % 5) END AS ceil, c_custkey % 2 = 0 AS dither FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)),
+g AS (SELECT t.*, lag(b) OVER (PARTITION BY id ORDER BY i) AS pb, lag(fo) OVER (PARTITION BY id ORDER BY i) AS pfo FROM t),
+h AS (SELECT id, sum((fi = 0 AND a > 0)::INT + (fo = 0 AND b < 4000000)::INT) AS hard, count(*) FILTER (WHERE a = pb) AS cont, count(*) AS n FROM g GROUP BY 1)
+SELECT id AS plan_id, 'warning' AS severity, 'short-track' AS code, 'split.tracks' AS location FROM t WHERE (b - a) / 44100.0 < 5
+UNION ALL SELECT id, 'error', 'track-past-end', 'split.tracks' FROM t WHERE b > 4000000
+UNION ALL SELECT id, 'error', 'fade-longer-than-track', 'split.tracks' FROM t WHERE (fi + fo) / 1000 > (b - a) / 44100.0
+UNION ALL SELECT id, 'warning', 'missing-title', 'metadata.tracks' FROM t WHERE title IS NULL
+UNION ALL SELECT id, 'error', 'gapless-fade', 'split.tracks' FROM g WHERE a = pb AND (pfo > 0 OR fi > 0)
+UNION ALL SELECT id, 'warning', 'hard-cut', 'split.tracks' FROM h WHERE hard > 0 AND cont < n - 1
+UNION ALL SELECT t.id, 'error', 'filename-collision', 'export.track_filename_template' FROM t JOIN (SELECT id, title, min(i) AS f FROM t WHERE title IS NOT NULL GROUP BY 1, 2) m ON t.id = m.id AND t.title = m.title AND t.i > m.f
+UNION ALL SELECT id, 'warning', 'subsonic-cutoff-high', 'prefilter.highpass_hz' FROM p WHERE pre AND hz > 40
+UNION ALL SELECT id, 'info', 'subsonic-cutoff-outside-band', 'prefilter.highpass_hz' FROM p WHERE pre AND hz <= 40 AND (hz < 20 OR hz > 30)
+UNION ALL SELECT id, 'error', 'decrackle-without-threshold', 'decrackle.threshold' FROM p WHERE dec
+UNION ALL SELECT id, 'warning', 'decrackle-width-is-clicks', 'decrackle.max_event_width_samples' FROM p WHERE dec AND width > 3
+UNION ALL SELECT id, 'info', 'decrackle-without-declick', 'decrackle' FROM p WHERE dec AND NOT dcl
+UNION ALL SELECT id, 'warning', 'rms-without-peak-ceiling', 'normalize.peak_ceiling_db' FROM p WHERE mode IN ('album_rms', 'album_gated_rms', 'album_lufs') AND ceil IS NULL
+UNION ALL SELECT id, 'warning', 'lufs-target-is-loud', 'normalize.target_db' FROM p WHERE mode = 'album_lufs' AND target > -9
+UNION ALL SELECT id, 'info', 'ungated-rms', 'normalize.mode' FROM p WHERE mode = 'album_rms'
+UNION ALL SELECT id, 'warning', 'no-headroom', 'normalize' FROM p WHERE mode <> 'none' AND coalesce(ceil, CASE WHEN mode IN ('album_peak', 'track_peak') THEN target END) > -0.5
+UNION ALL SELECT id, 'info', 'pointless-dither', 'export.dither' FROM p WHERE dither
+UNION ALL SELECT id, 'warning', 'no-album-title', 'metadata.album' FROM p"""
+
+
+@query("lint_findings", LINT_SQL)
+def lint_findings(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from .plans.lint import lint
+    from .plans.schemas import ANALYSIS, PLAN
+
+    i = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = sg.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("k"), i.alias("i"))
+    track = F.struct(
+        F.col("i").alias("index"), ((F.col("i") - 1) * 400000).cast("long").alias("start_sample"), ((F.col("i") - 1) * 400000 + 44100 * (1 + F.col("k") % 10)).cast("long").alias("end_sample"),
+        ((F.col("k") % 3) * 10.0).alias("fade_in_ms"), ((F.col("k") % 5) * 400.0).alias("fade_out_ms"), F.when(F.col("k") % 4 != 0, F.concat(F.lit("Title "), (F.col("k") % 2).cast("string"))).alias("title"),
+    )
+    tracks = o.groupBy("id").agg(F.array_sort(F.collect_list(track)).alias("tracks"))
+    rows = sg.read(spark, sf_dir, "customer").join(tracks, F.col("c_custkey") == F.col("id"))
+    plan = """named_struct('schema_version', '3.8', 'source', named_struct('sample_rate', 44100, 'channels', 2, 'num_samples', 4000000L),
+      'prefilter', named_struct('enabled', id % 3 = 0, 'engine', 'spark', 'dc_block', false, 'highpass_hz', 10.0D + id % 40),
+      'split', named_struct('enabled', true, 'engine', 'spark', 'tracks', transform(tracks, t -> named_struct('index', t.index, 'start_sample', t.start_sample, 'end_sample', t.end_sample, 'fade_in_ms', t.fade_in_ms, 'fade_out_ms', t.fade_out_ms))),
+      'declick', named_struct('enabled', id % 7 <> 0, 'engine', 'spark'), 'decrackle', named_struct('enabled', id % 5 = 0, 'engine', 'spark', 'max_event_width_samples', int(1 + id % 6)),
+      'mono_merge', named_struct('enabled', false, 'engine', 'spark'), 'speed', named_struct('enabled', false, 'engine', 'spark'),
+      'normalize', named_struct('enabled', true, 'engine', 'spark', 'mode', element_at(array('album_peak', 'album_rms', 'album_gated_rms', 'album_lufs', 'track_peak', 'none'), int(id % 6) + 1), 'target_db', -double(id % 4), 'peak_ceiling_db', CASE WHEN id % 3 <> 0 THEN -0.3D * (id % 5) END),
+      'metadata', named_struct('enabled', true, 'tracks', transform(tracks, t -> named_struct('index', t.index, 'title', t.title))),
+      'export', named_struct('bit_depth', 24, 'dither', CASE WHEN id % 2 = 0 THEN 'tpdf' ELSE 'none' END, 'track_filename_template', '{index:02d} - {title}', 'write_tags', true))"""
+    # The documents' full schema: fields that are left out become null.
+    plans = rows.select(F.col("id").alias("plan_id"), F.from_json(F.to_json(F.expr(plan)), PLAN).alias("p")).withColumn("a", F.expr(f"from_json(NULL, '{ANALYSIS}')"))
+    named = plans.withColumn("p", F.col("p").withField("export.track_filename_template", F.lit("{title}")))
+    return lint(named).select("plan_id", "severity", "code", "location")
