@@ -142,13 +142,20 @@ def write(pages: DataFrame, folder: str, html: str = "html", key: str = "page_id
     Returns (path, records, bytes) per archive. A null html counts as empty, a null
     url or key leaves its header out. Of equal payloads of REVISIT_FROM bytes or more the row with
     the smallest key (null last; of rows with one key the first of the table) is the
-    response. A repeated task writes the same names again, each moved into place when whole.
+    response, so that rows may repeat. A repeated task writes the same names again, each moved into place when whole.
     """
-    rows = pick(pages, key=key, url=url, html=html).withColumn("row", F.monotonically_increasing_id())
-    rows = rows.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    many = rows.where(F.octet_length("html") >= REVISIT_FROM).groupBy("digest")
-    many = many.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("id"), "row")).alias("first"))
-    many = cut(many.where("n > 1").select(F.col("digest").alias("same"), F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row")), "payloads")
+    rows = pick(pages, key=key, url=url, html=html).withColumn("html", F.coalesce("html", F.lit("")))
+    rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("size", F.octet_length("html"))
+    each = cut(rows.groupBy("digest", "key", "size").agg(F.count(F.lit(1)).alias("n")), "payloads")
+    if each.where("n > 1").limit(1).count():
+        # Rows with equal keys and payloads: a number that is written with them tells them apart.
+        rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
+        each = rows.select("digest", "key", "size", "row", F.lit(1).alias("n"))
+    else:
+        rows, each = rows.withColumn("row", F.lit(0).cast("long")), each.withColumn("row", F.lit(0).cast("long"))
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("id"), "row"))
+    many = each.where(F.col("size") >= REVISIT_FROM).groupBy("digest").agg(F.sum("n").alias("n"), first.alias("first")).where("n > 1")
+    many = cut(many.select(F.col("digest").alias("same"), F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row")), "firsts")
     joined = rows.join(many, rows["digest"] == many["same"], "left").select("key", "url", "html", "digest", "row", "first_id", "first_row")
 
     def run(batches):
@@ -158,7 +165,7 @@ def write(pages: DataFrame, folder: str, html: str = "html", key: str = "page_id
                 part = batch.slice(at, 1000)
                 records = []
                 for page, address, text, digest, row, first, first_row in zip(*[c.to_pylist() for c in part.columns]):
-                    refers = (first, first_row) if first_row is not None and first_row != row else None
+                    refers = (first, first_row) if first_row is not None and (first, first_row) != (page, row) else None
                     records.append(record(page, address, text.encode("utf-8", "surrogatepass"), digest, row, refers, date))
                 if out is None:
                     out = ArchiveWriter(f"{folder}/part-{place:06d}-{number:04d}.warc.zst", records)
