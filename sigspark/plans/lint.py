@@ -118,7 +118,7 @@ def lint(plans: DataFrame) -> DataFrame:
 def collisions(plans: DataFrame) -> DataFrame:
     """Tracks of a plan that get the same file name, by their titles."""
     rows = plans.where("p.split.enabled").select("plan_id", "p.metadata.tracks", F.col("p.export.track_filename_template").alias("template"), F.explode("p.split.tracks").alias("t"))
-    title = F.coalesce(F.expr("filter(tracks, m -> m.index = t.index)[0].title"), F.format_string("Track %02d", F.col("t.index")))
+    title = F.coalesce(F.expr("get(filter(tracks, m -> m.index = t.index), 0).title"), F.format_string("Track %02d", F.col("t.index")))
     name = F.replace(F.replace(F.col("template"), F.lit("{index:02d}"), F.lpad(F.col("t.index").cast("string"), 2, "0")), F.lit("{title}"), safe_name(title))
     named = rows.select("plan_id", F.col("t.index").alias("index"), name.alias("name"))
     again = named.withColumn("first", F.min("index").over(Window.partitionBy("plan_id", "name"))).where("index > first")

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.expr import safe_name
 
@@ -14,7 +15,7 @@ from ..functions.expr import safe_name
 FIELDS = ("index", "title", "artist", "album_artist", "album", "year", "position", "catalog_number")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Texts in Unicode's composed form."""
     return text.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")

@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def canonical_json(value) -> str:
@@ -25,7 +26,7 @@ def short_digest(digest: str) -> str:
     return digest[:12]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical(text: pd.Series) -> pd.Series:
     """A column of JSON texts in canonical form."""
     return text.map(lambda x: canonical_json(json.loads(x)), na_action="ignore")

@@ -135,7 +135,7 @@ def write_tracks(tracks: DataFrame, folder: str, rate: int, bits: int = 24, seed
     """
     schema = f"{KEY} string, track_index int, path string, sha256 string, bytes long, num_samples long, over_full_scale long"
 
-    def save(key, table: pa.Table) -> pa.Table:
+    def save(key: tuple, table: pa.Table) -> pa.Table:
         name, index = (x.as_py() for x in key)
         channel, idx = table.column("channel").to_numpy(), table.column("idx").to_numpy()
         x = np.zeros((int(idx.max()) + 1, int(channel.max()) + 1))
