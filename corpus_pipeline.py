@@ -50,8 +50,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the texts by [REDACTED]; n_chars follows the text. No document goes."""
     rows, names = _placed(docs)
     text = _at(names, "text")
-    found = secret_scan.scan(rows, text=text, carry=tuple(rows.columns), redacted=True)
-    out = {c: F.col(c) for c in rows.columns} | {text: F.col("redacted")}
+    found = secret_scan.scan(rows, text=text, carry=tuple(c for c in rows.columns if c != text), redacted=True)
+    out = {c: F.col("redacted" if c == text else c) for c in rows.columns}
     if "n_chars" in names:
         place = _at(names, "n_chars")
         changed = F.when(F.col("spans") != "", F.char_length("redacted")).otherwise(F.col(place))

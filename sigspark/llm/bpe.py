@@ -19,13 +19,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import pick, table
+from .common import groups, light_batches, pick, table, utf8_view
 
 #: The word pattern of byte-level BPE; white space is Unicode's White_Space.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Entries that a worker's cache holds at most before it starts anew; this changes speed, not results.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 60_000
+#: Bytes of text whose words are encoded together; this bounds memory, not results.
+SLICE_BYTES = 4 << 20
 
 
 def _distinct(at: np.ndarray) -> np.ndarray:
@@ -198,13 +200,25 @@ def encode_decode(docs: DataFrame, text: str = "text", key: str = "doc_id", *, p
     tokens in a text are taken as such; bytes that are no UTF-8 decode to U+FFFD.
     """
     path = path or byte_bpe_path()
+    light_batches(docs.sparkSession)
     source = pick(docs, key=key, text=text)
     kind = source.schema["key"].dataType.simpleString()
     schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
 
+    def sliced(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for i, j in groups(utf8_view(batch.column(1))[0], SLICE_BYTES):
+                held.append(batch.slice(i, j - i))
+                if sum(b.nbytes for b in held) >= SLICE_BYTES:
+                    yield pa.concat_batches(held)
+                    held = []
+        if held:
+            yield pa.concat_batches(held)
+
     def run(batches):
         bpe = encoder(path)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1)
             seen: set[str] = set()
             for t in texts:

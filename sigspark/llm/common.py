@@ -33,6 +33,19 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return placed.select(*[F.col(f"c{names.index(old)}").alias(new) for new, old in columns.items()])
 
 
+#: Rows of an Arrow batch of whole texts or pages; the default of 10,000 is meant for short rows.
+BATCH_ROWS = 1000
+
+
+def light_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches small enough for rows of whole texts, and its Parquet pages out
+    of direct buffers: both are memory that an executor holds beside its heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 

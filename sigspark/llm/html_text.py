@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import pick, table
+from .common import light_batches, pick, table
 
 #: Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -200,6 +200,7 @@ def extract(pages: DataFrame, html: str = "html", carry: tuple[str, ...] = ("pag
 
     The whole html is read; null or empty html gives "" and 0. Keys may be null or repeat.
     """
+    light_batches(pages.sparkSession)
     source = pick(pages, **{f"k{i}": c for i, c in enumerate(carry)}, html=html)
     n = len(carry)
     fields = "".join(f"k{i} {source.schema[f'k{i}'].dataType.simpleString()}, " for i in range(n))

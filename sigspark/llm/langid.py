@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, groups, mix64, pick, table, utf8_view
+from .common import cut, groups, light_batches, mix64, pick, table, utf8_view
 
 #: Labelled documents per language that the filters are learned from, at most (expected).
 TRAIN_DOCS = 3000
@@ -145,7 +145,10 @@ def predict(docs: DataFrame, model: LanguageFilters, text: str = "text", carry:
     score 0. A text whose n-grams no filter knows gets the first language and score 0; ties go
     to the language that is first in code-point order.
     """
-    source = pick(docs, **{f"k{i}": c for i, c in enumerate(carry)}, text=text)
+    light_batches(docs.sparkSession)
+    # A text that is carried along is sent to the workers once.
+    at = carry.index(text) if text in carry else len(carry)
+    source = pick(docs, **{f"k{i}": c for i, c in enumerate(carry)}, **({} if text in carry else {"text": text}))
     fields = ", ".join(f"k{i} {source.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(carry)))
     shared = source.sparkSession.sparkContext.broadcast(model)  # of a fixed size: 2**LOG_SLOTS slots
     n = len(carry)
@@ -153,10 +156,10 @@ def predict(docs: DataFrame, model: LanguageFilters, text: str = "text", carry:
     def run(batches):
         filters = shared.value
         for batch in batches:
-            column = batch.column(n)
+            column = batch.column(at)
             off, _ = utf8_view(column)
-            names, scores = [], []
-            for i, j in groups(off):
+            for i, j in groups(off, 1 << 18):
+                names, scores = [], []
                 texts = column.slice(i, j - i).to_pylist()
                 whole = [_padded(t) for t in texts]
                 bounds = np.concatenate([[0], np.cumsum([len(t) for t in whole])])
@@ -168,7 +171,8 @@ def predict(docs: DataFrame, model: LanguageFilters, text: str = "text", carry:
                     best, score = filters.predict(b"".join(whole), bounds)
                 names += [filters.languages[b] if ok else UNDETERMINED for ok, b in zip(letters, best.tolist())]
                 scores += [s if ok else 0.0 for ok, s in zip(letters, score.tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*[f"k{i}" for i in range(n)], "lang_pred", "score"])
+                own = [c.slice(i, j - i) for c in batch.columns[:n]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*[f"k{i}" for i in range(n)], "lang_pred", "score"])
 
     got = source.mapInArrow(run, f"{fields}, lang_pred string, score double")
     return got.toDF(*carry, "lang_pred", "score")

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, groups, hash_spans, mix64, pick, table, utf8_view, word_spans
+from .common import ascii_lower, groups, hash_spans, light_batches, mix64, pick, table, utf8_view, word_spans
 
 #: The base phrases, found by exact places.
 BASE = (
@@ -89,6 +89,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", *, base=BASE,
     no words, empty labels, score 0. Keys may be null or repeat; further columns are left out.
     """
     spark = docs.sparkSession
+    light_batches(docs.sparkSession)
     source = pick(docs, key=key, text=text)
     kind = source.schema["key"].dataType.simpleString()
 

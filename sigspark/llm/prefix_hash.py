@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, pick, table
+from .common import cut, light_batches, mix64, pick, table
 
 #: Two primes and a base for each.
 PRIMES, BASES = (2**31 - 1, 2**31 - 19), (911_382_323, 972_663_749)
@@ -163,6 +163,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     the first and last rows of the partitions, two per partition, meet in a second step.
     """
     spark = docs.sparkSession
+    light_batches(docs.sparkSession)
     rows = pick(docs, key=key, text=text).withColumn("text", F.coalesce("text", F.lit("")))
     kind = rows.schema["key"].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

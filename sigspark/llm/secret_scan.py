@@ -14,7 +14,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import pick, table
+from .common import groups, light_batches, pick, table, utf8_view
 
 #: Kinds in the order in which they are listed; "random" is the token-efficiency test's.
 KINDS = ("assign", "access", "hex", "random")
@@ -117,6 +117,7 @@ def scan(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id"
     empty: no spans and the digest of the empty string. Keys may be null or repeat.
     """
     path = path or rank_path()
+    light_batches(docs.sparkSession)
     source = pick(docs, **{f"k{i}": c for i, c in enumerate(carry)}, text=text)
     n = len(carry)
     fields = "".join(f"k{i} {source.schema[f'k{i}'].dataType.simpleString()}, " for i in range(n))
@@ -124,7 +125,7 @@ def scan(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id"
 
     def run(batches):
         encoding = _encoding(path)
-        for batch in batches:
+        for batch in (b.slice(i, j - i) for b in batches for i, j in groups(utf8_view(b.column(n))[0])):
             counts: list[list[int]] = [[], [], [], []]
             digests, spelled, clean = [], [], []
             for value in batch.column(n):

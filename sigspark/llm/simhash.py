@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pick, table
+from .common import cut, light_batches, pick, table
 from .graph import components
 
 #: Largest Hamming distance of linked fingerprints; words of a shingle; seed.
@@ -52,6 +52,7 @@ def _digest(data: bytes) -> bytes:
 
 def fingerprints(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns and fp (long), one row per row of docs; null and empty texts have 0."""
+    light_batches(docs.sparkSession)
     source = pick(docs, **{f"k{i}": c for i, c in enumerate(carry)}, text=text)
     n = len(carry)
     fields = "".join(f"k{i} {source.schema[f'k{i}'].dataType.simpleString()}, " for i in range(n))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_path, pick, shared_path, table
+from .common import cut, drop_path, light_batches, pick, shared_path, table
 
 #: Magic number of the skippable frame and of a Zstandard frame.
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -144,6 +144,7 @@ def write(pages: DataFrame, folder: str, html: str = "html", key: str = "page_id
     the smallest key (null last; of rows with one key the first of the table) is the
     response, so that rows may repeat. A repeated task writes the same names again, each moved into place when whole.
     """
+    light_batches(pages.sparkSession)
     rows = pick(pages, key=key, url=url, html=html).withColumn("html", F.coalesce("html", F.lit("")))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("size", F.octet_length("html"))
     each = cut(rows.groupBy("digest", "key", "size").agg(F.count(F.lit(1)).alias("n")), "payloads")
