@@ -43,7 +43,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     prints = cut(prints.select("row", F.struct(own.isNull().alias("none"), own.alias("id"), "row").alias("key"), "fp"), "prints")
     classes = simhash.near_duplicates(prints, "key")
     dropped = cut(classes.where(F.col("component.row") != F.col("row")).select("row"), "dropped")
-    return rows.join(dropped, "row", "left_anti").select(*[f"p{i}" for i in range(len(names))]).toDF(*names)
+    # A merge join at every size: what is broadcast would grow with the corpus.
+    return rows.join(dropped.hint("merge"), "row", "left_anti").select(*[f"p{i}" for i in range(len(names))]).toDF(*names)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +66,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     taken = mixing.entropy_balance(rows, text=_at(names, "text"), source=_at(names, "source"), key="row")
     taken = cut(taken.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")), "copies")
-    return rows.join(taken, "row").select(*[f"p{i}" for i in range(len(names))]).toDF(*names)
+    return rows.join(taken.hint("merge"), "row").select(*[f"p{i}" for i in range(len(names))]).toDF(*names)
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
