@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import bpe, langid, mixing, secret_scan, simhash
+from sigspark.llm import bpe, langid, mixing, near_copies, secret_scan
 from sigspark.llm.common import cut, table
 
 
@@ -35,14 +35,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: the smallest doc_id, null last, then the first in the table."""
+    """Keeps one document of each group of near copies (five-word shingles at Jaccard 0.8 or more): the smallest
+    doc_id, null last, then the first in the table."""
     rows, names = _placed(docs)
     rows = rows.withColumn("row", F.monotonically_increasing_id())
-    prints = simhash.fingerprints(rows, text=_at(names, "text"), carry=(_at(names, "doc_id"), "row"))
     own = F.col(_at(names, "doc_id"))
-    prints = cut(prints.select("row", F.struct(own.isNull().alias("none"), own.alias("id"), "row").alias("key"), "fp"), "prints")
-    classes = simhash.near_duplicates(prints, "key")
-    dropped = cut(classes.where(F.col("component.row") != F.col("row")).select("row"), "dropped")
+    keyed = rows.withColumn("key", F.struct(own.isNull().alias("none"), own.alias("id"), "row"))
+    dropped = cut(near_copies.dropped(keyed, _at(names, "text"), "key"), "dropped")
     # A merge join at every size: what is broadcast would grow with the corpus.
     return rows.join(dropped.hint("merge"), "row", "left_anti").select(*[f"p{i}" for i in range(len(names))]).toDF(*names)
 

@@ -88,3 +88,40 @@ def test_queries_are_registered():
 
     names = set(__spark_entry__.queries())
     assert {"pipeline"} < names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_near_dedup_finds_edited_copies(spark):
+    import random
+
+    from sigspark.llm import near_copies
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([12, 80, 300]))]
+        texts.append(" ".join(words))
+        for edits in (0, 1, 2, 4):
+            other = list(words)
+            for _ in range(edits):
+                at = rng.randrange(len(other))
+                other[at : at + 1] = [f"v{rng.randrange(5000)}"] * rng.randrange(3)
+            texts.append(" ".join(other))
+    rng.shuffle(texts)
+    # What plain comparison of all pairs connects.
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    group, changed, far = list(range(len(texts))), True, 0
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= near_copies.SIMILARITY]
+    for i, j in near:
+        far += bin((simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])) & (2**64 - 1)).count("1") > 3
+    while changed:
+        changed = False
+        for i, j in near:
+            low = min(group[i], group[j])
+            changed |= group[i] != low or group[j] != low
+            group[i] = group[j] = low
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 1, "x", "y") for i, t in enumerate(texts)], SCHEMA)
+    got = sorted(r["doc_id"] for r in cp.simhash_dedup(spark, docs, "").collect())
+    assert far > 0 and got == sorted(set(group))
