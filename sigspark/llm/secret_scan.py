@@ -28,7 +28,8 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
-_IDENTIFIER = re.compile(r"[A-Za-z]*(?:[-_/+=]+[A-Za-z]*)*[0-9]{0,4}=*|[0-9_/+=-]+|(?:[A-Za-z]?[0-9]{1,8}[-_/]?)+")
+#: Each branch reads a run in one way only, so that none backtracks.
+_IDENTIFIER = re.compile(r"[A-Za-z_/+=-]*[0-9]{0,4}=*|[0-9_/+=-]+|[A-Za-z]?[0-9](?:[0-9]|[A-Za-z][0-9]|[-_/][A-Za-z]?[0-9])*[-_/]?")
 #: Characters per token below which a run counts as random.
 CHARS_PER_TOKEN = 2.0
 

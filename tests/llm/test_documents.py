@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -331,3 +333,9 @@ def test_mixing_degenerate(spark, empty):
 def test_mixing_stays_in_dataframe_functions(spark, docs):
     plan = mixing.entropy_balance(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("head", ["=" * 200, "-" * 200, "1" * 200, "a1" * 100])
+def test_secret_expressions_do_not_backtrack(head):
+    code = "from sigspark.llm import secret_scan as s; s.is_random(%r, s._encoding(s.rank_path()))" % (head + "a1b2c3xyz+")
+    assert subprocess.run([sys.executable, "-c", code], timeout=60).returncode == 0
