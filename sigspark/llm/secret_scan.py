@@ -23,13 +23,15 @@ _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A greedy run of 24 or more is the maximal run, as with [0-9a-f]+ and a test of its length.
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Lengths of hexadecimal digests: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
-#: Each branch reads a run in one way only, so that none backtracks.
-_IDENTIFIER = re.compile(r"[A-Za-z_/+=-]*[0-9]{0,4}=*|[0-9_/+=-]+|[A-Za-z]?[0-9](?:[0-9]|[A-Za-z][0-9]|[-_/][A-Za-z]?[0-9])*[-_/]?")
+#: Numbers, dates and numbering; each expression reads a run in one way only, so that none backtracks.
+_IDENTIFIER = re.compile(r"[0-9_/+=-]+|[A-Za-z]?[0-9](?:[0-9]|[A-Za-z][0-9]|[-_/][A-Za-z]?[0-9])*[-_/]?")
+_NAME = re.compile(r"[A-Za-z_/+=-]*[0-9]{0,4}=*")
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Characters per token below which a run counts as random.
 CHARS_PER_TOKEN = 2.0
 
@@ -67,13 +69,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def is_name(run: str, encoding) -> bool:
+    """True for letters and signs, with up to four digits at the end, whose camel and snake parts are
+    single tokens of three letters on average."""
+    if not _NAME.fullmatch(run):
+        return False
+    parts = _PART.findall(run)
+    return bool(parts) and sum(map(len, parts)) >= 3 * len(parts) and all(len(encoding.encode_ordinary(p)) == 1 for p in parts)
+
+
 def is_random(run: str, encoding, chars_per_token: float = CHARS_PER_TOKEN) -> bool:
-    """True for a run that takes too many tokens and is no digest, UUID or identifier."""
+    """True for a run that takes too many tokens and is no digest, UUID, number or name."""
     if _DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS or _UUID.fullmatch(run) or _IDENTIFIER.fullmatch(run):
         return False
     if len(set(run)) < 8:
         return False
-    return len(run) < chars_per_token * len(encoding.encode_ordinary(run))
+    return len(run) < chars_per_token * len(encoding.encode_ordinary(run)) and not is_name(run, encoding)
 
 
 def all_spans(text: str, encoding, chars_per_token: float = CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:

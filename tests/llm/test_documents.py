@@ -339,3 +339,15 @@ def test_mixing_stays_in_dataframe_functions(spark, docs):
 def test_secret_expressions_do_not_backtrack(head):
     code = "from sigspark.llm import secret_scan as s; s.is_random(%r, s._encoding(s.rank_path()))" % (head + "a1b2c3xyz+")
     assert subprocess.run([sys.executable, "-c", code], timeout=60).returncode == 0
+
+
+@pytest.mark.parametrize("size", [16, 20, 32, 40])
+def test_letters_only_and_short_keys_are_found(size):
+    encoding = secret_scan._encoding(secret_scan.rank_path())
+    rng = random.Random(size)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for alphabet in (letters, letters + "0123456789"):
+        keys = ["".join(rng.choice(alphabet) for _ in range(size)) for _ in range(200)]
+        assert sum(secret_scan.all_spans(f"key {k} end", encoding) != [] for k in keys) >= 190
+    names = ["getElementsByClassName", "max_records_per_batch", "use/local/share/file", "HTTPServerRequestHandler", "TheQuickBrownFoxJumps2024", "a-long-url-slug-with-words"]
+    assert not any(secret_scan.all_spans(n, encoding) for n in names)
