@@ -139,12 +139,18 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", *, base=BASE,
     )
     # A diagonal with all votes is a span by itself; the others are merged with their neighbours.
     full = (F.col("votes") == F.col("whole")) | (F.col("template") < 0)
-    order = Window.partitionBy("row", "template", "full").orderBy("lo", "diagonal")
+    order = Window.partitionBy("row", "template", "full").orderBy("diagonal")
     diagonals = diagonals.withColumn("full", full)
-    apart = (
-        F.col("full") | F.lag("diagonal").over(order).isNull()
-        | (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > DIAGONAL_STEP) | (F.col("lo") - F.lag("hi").over(order) > GAP)
-    )
+
+    def near(k: int):
+        """Whether a row and the k-th before it are neighbours: in diagonals, and in words either way."""
+        before = {c: F.lag(c, k).over(order) for c in ("lo", "hi", "diagonal")}
+        gap = F.greatest(F.col("lo") - before["hi"], before["lo"] - F.col("hi"))
+        return F.coalesce((F.col("diagonal") - before["diagonal"] <= DIAGONAL_STEP) & (gap <= GAP), F.lit(False))
+
+    # Within DIAGONAL_STEP of a row are the two before it at most; a row between two neighbours goes with them.
+    diagonals = diagonals.withColumn("near1", near(1)).withColumn("near2", near(2))
+    apart = F.col("full") | ~(F.col("near1") | F.col("near2") | F.coalesce(F.lead("near2").over(order), F.lit(False)))
     diagonals = diagonals.withColumn("span", F.sum(apart.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = diagonals.groupBy(*same, "full", "span").agg(
         F.bit_or("votes").alias("votes"), F.min("diagonal").alias("start"), F.min("lo").alias("lo"), F.max("hi").alias("hi")

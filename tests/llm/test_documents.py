@@ -351,3 +351,19 @@ def test_letters_only_and_short_keys_are_found(size):
         assert sum(secret_scan.all_spans(f"key {k} end", encoding) != [] for k in keys) >= 190
     names = ["getElementsByClassName", "max_records_per_batch", "use/local/share/file", "HTTPServerRequestHandler", "TheQuickBrownFoxJumps2024", "a-long-url-slug-with-words"]
     assert not any(secret_scan.all_spans(n, encoding) for n in names)
+
+
+def test_license_survives_one_edit_at_any_place(spark):
+    rows, least = [], []
+    for i, (_, phrase) in enumerate(license_scan.TEMPLATES):
+        w = phrase.split()
+        places = {r[2] for r in license_scan.template_rows() if r[1] == i + len(license_scan.BASE)}
+        for k in range(1, len(w)):
+            for text, lost in ((w[:k] + ["zzz"] + w[k:], {k - 1}), (w[:k] + w[k + 1 :], {k - 1, k})):
+                if len(places - lost) / len(places) >= license_scan.VERIFIED:
+                    rows.append((len(rows), "so " + " ".join(text) + " end"))
+                    least.append((i, len(places - lost) / len(places)))
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n, (i, share) in enumerate(least):
+        found = [s["share"] for s in got[n]["spans"] if s["template"] == i + len(license_scan.BASE)]
+        assert found and max(found) >= share - 1e-12, rows[n]
