@@ -60,8 +60,11 @@ class Result:
     rate: int = 0
 
 
-def execute(samples: DataFrame, plan: dict) -> Result:
-    """Run a plan. Disabled stages are left out and recorded as skipped; what an algorithm cannot honour is refused."""
+def execute(samples: DataFrame, plan: dict, lengths: DataFrame | None = None) -> Result:
+    """Run a plan. Disabled stages are left out and recorded as skipped; what an algorithm cannot honour is refused.
+
+    With lengths (recording_id, n) the plan's positions are shares of its num_samples, laid over each recording's n samples.
+    """
     plan = complete(plan)
     rate, out = plan["source"]["sample_rate"], Result(samples, None, None)
 
@@ -74,7 +77,7 @@ def execute(samples: DataFrame, plan: dict) -> Result:
     samples = _decrackle(samples, plan["decrackle"], rate, out, done)
     samples = _mono_merge(samples, plan["mono_merge"], rate, done)
     samples, ratio = _speed(samples, plan["speed"], done)
-    tracks = _split(samples, plan["split"], plan["source"], ratio, rate, done)
+    tracks = _split(samples, plan["split"], plan["source"], ratio, rate, done, lengths)
     tracks, out.gains = _normalize(tracks, plan["normalize"], rate, done)
     tracks, out.rate = _resample(tracks, plan["export"], rate, done)
     out.tracks = tracks
@@ -159,17 +162,24 @@ def _speed(samples: DataFrame, p: dict, done):
     return from_channels(bl.resampled(by_channel(samples), ratio.numerator, ratio.denominator)), ratio
 
 
-def _split(samples: DataFrame, p: dict, source: dict, ratio, rate: int, done) -> DataFrame:
+def _split(samples: DataFrame, p: dict, source: dict, ratio, rate: int, done, lengths: DataFrame | None = None) -> DataFrame:
     if not p["enabled"]:
         done("split", ran=False)
         return samples.withColumn("track_index", F.lit(1))
     # Positions stay those of the source; a changed speed maps them by the realised ratio.
     n = source["num_samples"]
     realised = -(-n * ratio.numerator // ratio.denominator) / n if ratio else 1.0
+    if lengths is not None:
+        realised = 1.0
     place = lambda x: min(max(round(x * realised), 0), round(n * realised))
     rows = [(t["index"], place(t["start_sample"]), place(t["end_sample"]), round(t.get("fade_in_ms", 0) / 1000 * rate), round(t.get("fade_out_ms", 0) / 1000 * rate)) for t in p["tracks"]]
     spans = samples.sparkSession.createDataFrame(rows, "track_index int, start_idx long, end_idx long, fade_in int, fade_out int")
-    spans = samples.select(KEY).distinct().join(F.broadcast(spans))  # the plan's tracks: a short list
+    if lengths is None:
+        spans = samples.select(KEY).distinct().join(F.broadcast(spans))  # the plan's tracks: a short list
+    else:
+        long = F.col("n") if ratio is None else F.expr(f"(n * {ratio.numerator} + {ratio.denominator - 1}) div {ratio.denominator}")
+        spans = lengths.select(KEY, long.alias("long")).join(F.broadcast(spans))
+        spans = spans.withColumns({c: F.expr(f"{c} * long div {n}") for c in ("start_idx", "end_idx")}).drop("long")
     inside = inside_spans(samples, "idx", spans)
     gain = fade_gain(F.col("idx"), F.col("start_idx"), F.col("end_idx"), F.col("fade_in"), F.col("fade_out"))
     done("split", f"{len(rows)} tracks")

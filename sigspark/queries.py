@@ -596,6 +596,7 @@ def analyze_document(spark, sf_dir):
     return got.document().select(KEY, F.to_json("surface_noise").alias("surface_noise"), F.to_json("clipping").alias("clipping"), F.to_json("silence").alias("silence"))
 
 
+#: Tracks in thousandths of a recording's length.
 PLAN_TRACKS = [(1, 50, 450), (2, 450, 700), (3, 760, 990)]
 
 
@@ -603,13 +604,13 @@ PLAN_TRACKS = [(1, 50, 450), (2, 450, 700), (3, 760, 990)]
 def execute_plan(spark, sf_dir):
     from .plans.executor import execute
 
-    samples = sg.events_by(spark, sf_dir, "event_type").withColumn("channel", F.lit(0)).where("idx < 1000")
+    samples = sg.events_by(spark, sf_dir, "event_type").withColumn("channel", F.lit(0))
     plan = {
         "source": {"sample_rate": 100, "channels": 1, "num_samples": 1000}, "prefilter": {"enabled": True, "dc_block": True}, "declick": {"enabled": False},
         "decrackle": {"enabled": True, "threshold": 3.0}, "split": {"tracks": [{"index": i, "start_sample": a, "end_sample": b, "fade_in_ms": 100.0, "fade_out_ms": 200.0} for i, a, b in PLAN_TRACKS]},
         "normalize": {"mode": "album_peak", "target_db": -1.0, "peak_ceiling_db": -0.5},
     }
-    out = execute(samples, plan).tracks
+    out = execute(samples, plan, lengths(samples)).tracks
     return rounded(out.groupBy(KEY, "track_index").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("v")).alias("peak"), F.sum("v").alias("total")), "peak", "total")
 
 

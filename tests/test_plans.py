@@ -208,3 +208,14 @@ def test_layers_do_not_import_upwards():
                 assert not any("llm" in n.split(".") for n in names), (folder, name)
                 if os.path.basename(folder) in ("functions", "operators"):
                     assert not any("plans" in n.split(".") for n in names), (folder, name)
+
+
+def test_registered_plan_covers_whole_recordings(spark):
+    from sigspark import queries
+    from sigspark.sources import signals as sg
+
+    sf_dir = "/root/testdata/sf0.01"
+    n = {r["recording_id"]: r["n"] for r in queries.lengths(sg.events_by(spark, sf_dir, "event_type")).collect()}
+    assert min(n.values()) > 1000
+    got = {(r["recording_id"], r["track_index"]): r["n"] for r in queries.execute_plan(spark, sf_dir).collect()}
+    assert got == {(k, i): b * m // 1000 - a * m // 1000 for k, m in n.items() for i, a, b in queries.PLAN_TRACKS}
