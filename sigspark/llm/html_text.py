@@ -23,13 +23,14 @@ RAW = frozenset("script style textarea title noscript template svg math iframe o
 BOILER = frozenset("head nav header footer aside form button dialog menu label fieldset legend figure".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt figcaption h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Words of class, id and role that mark furniture.
+#: Class tokens, ids and roles that mark furniture, whole; parts such as has- or no- before them say something else.
 _FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|breadcrumbs?|byline|comments?|commentlist|cookies?|consent|copyright|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|pager|popup|promo\w*|related|replies|respond|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|tags|toolbar|widget)(?:$|[\s_-])",
+    r"(?!(?:[^\s]*[_-])?(?:has|have|no|not|with|without)[_-])(?:[^\s]*[_-])?(?:ad|ads|advert\w*|adbox|banner|breadcrumbs?|byline|comments?|commentlist|cookies?|consent|copyright|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|pager|popup|promo\w*|related|replies|respond|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|tags|toolbar|widget)(?:[_-][^\s]*)?",
     re.IGNORECASE,
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s>/]*)[^>]*(?:>|$)|<([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
+#: An attribute, name and value, whole: what stands inside a value is no attribute.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
 _SPACE = re.compile(r"\s+")
 _MARKS = re.compile(r"[.,;:!?。，；：！？、]")
 #: A path is content if its fused score reaches this part of the page's best score, by logarithms.
@@ -129,11 +130,15 @@ def blocks(page: str) -> list[_Node]:
             close(len(stack) - 1)
         stack.append(name)
         if not skip:
-            attributes = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(m[3])} if m[3] else {}
-            named = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}"
+            attributes: dict[str, str] = {}
+            for k, v in _ATTRIBUTE.findall(m[3]) if m[3] else ():
+                attributes.setdefault(k.lower(), v.strip("\"'"))  # of a repeated attribute the first counts
+            named = " ".join([attributes.get(k, "") for k in ("class", "id", "role")]).split()
             furniture = name in BOILER and not (name == "header" and containers) and name != "figure"
-            marked = name not in ("article", "main", "body", "html") and _FURNITURE.search(named)
-            if furniture or "hidden" in attributes or (marked and not (containers and "header" in marked[0].lower())):
+            marked = [w for w in named if _FURNITURE.fullmatch(w)]
+            if containers:
+                marked = [w for w in marked if "header" not in w.lower()]
+            if name not in ("article", "main", "body", "html") and (furniture or "hidden" in attributes or marked):
                 skip = len(stack)
             elif name in ("article", "main"):
                 numbers += 1

@@ -152,3 +152,17 @@ def test_hnsw_graph_is_layered():
     assert graph.layers[0][1].shape == (2000, 2 * hnsw.LINKS)
     again = hnsw.Graph.unpack(graph.pack())
     assert all((a == b).all() for (_, a), (_, b) in zip(graph.layers, again.layers))
+
+
+@pytest.mark.parametrize("start, end", [
+    ('<body style="overflow:hidden">', "</body>"), ('<article aria-hidden="false">', "</article>"), ('<div data-x="hidden">', "</div>"),
+    ('<div class="has-sidebar no-comments">', "</div>"), ("<main hidden>", "</main>"), ('<div class="with-menu">', "</div>"),
+])
+def test_containers_with_loosely_matching_attributes_stay(start, end):
+    said = "One sentence, as it is. And another, longer than that."
+    assert html_text.main_text(f"{start}<article><p>{said}</p></article>{end}") == said
+
+
+@pytest.mark.parametrize("start", ["<div hidden>", "<div hidden=''>", "<div class='x sidebar'>", "<div id=comments>", "<div class='site-footer'>"])
+def test_furniture_still_goes(start):
+    assert html_text.main_text(f"<body><p>One sentence, as it is.</p>{start}<p>Some other words, here.</p></div>") == "One sentence, as it is."
