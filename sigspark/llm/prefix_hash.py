@@ -3,7 +3,7 @@
 A text's prefix arrays (modulo two primes) give the hash of any span in constant time,
 decide whether two spans are equal, and locate the longest common extension of two
 places by binary search. A fingerprint is the whole text's hash and a sketch: the
-smallest span hash in each of SLOTS classes over all windows of WIDTH code points.
+smallest span hash in each of SLOTS classes over all windows of WIDTH code points, in short texts also of NARROW.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .common import cut, light_batches, mix64, pick, table
 PRIMES, BASES = (2**31 - 1, 2**31 - 19), (911_382_323, 972_663_749)
 #: Code points of a window; classes of the sketch.
 WIDTH, SLOTS = 16, 64
+#: Texts below SHORT code points are sketched by windows of NARROW too, so that short edited texts keep common spans.
+SHORT, NARROW = 48, 4
 
 
 class _Powers:
@@ -100,6 +102,9 @@ def sketch(x: PrefixHash) -> np.ndarray:
     """A byte per class: 0 if no window falls in it, else 1 + the smallest hash modulo 255."""
     out = np.zeros(SLOTS, np.uint8)
     hashes = mix64(x.windows())
+    if NARROW < x.n < SHORT:
+        # A span's hash does not tell its length: narrow windows are mixed apart.
+        hashes = np.concatenate([hashes, mix64(x.windows(NARROW) + np.uint64(1 << 40))])
     if len(hashes):
         slot = (hashes >> np.uint64(58)).astype(np.uint8)  # SLOTS is 2**6
         order = np.argsort(slot, kind="stable")

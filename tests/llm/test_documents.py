@@ -367,3 +367,11 @@ def test_license_survives_one_edit_at_any_place(spark):
     for n, (i, share) in enumerate(least):
         found = [s["share"] for s in got[n]["spans"] if s["template"] == i + len(license_scan.BASE)]
         assert found and max(found) >= share - 1e-12, rows[n]
+
+
+@pytest.mark.parametrize("size", [9, 12, 16, 22, 30])
+def test_short_edited_texts_keep_common_spans(size):
+    a, b = "abcdefghijklmnopqrstuvwxyz012345"[:size], "ZYXWVUTSRQPONMLKJIHGFEDCBA"
+    third = size // 3
+    first, edited, other = (prefix_hash.fingerprint(prefix_hash.PrefixHash(t)) for t in (a, a[: size - third] + b[:third], b))
+    assert prefix_hash.likeness(first, edited) > 0.1 and prefix_hash.likeness(first, other) < 0.1
