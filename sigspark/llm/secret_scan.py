@@ -30,10 +30,12 @@ _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 #: Numbers, dates and numbering; each expression reads a run in one way only, so that none backtracks.
 _IDENTIFIER = re.compile(r"[0-9_/+=-]+|[A-Za-z]?[0-9](?:[0-9]|[A-Za-z][0-9]|[-_/][A-Za-z]?[0-9])*[-_/]?")
-_NAME = re.compile(r"[A-Za-z_/+=-]*[0-9]{0,4}=*")
+_LETTERS = re.compile(r"[A-Za-z_/+=-]*")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Characters per token below which a run counts as random.
 CHARS_PER_TOKEN = 2.0
+#: Characters of a run that are encoded at once: the encoder's time grows faster than a piece's length.
+PIECE = 4096
 
 
 def rank_path() -> str:
@@ -72,7 +74,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def is_name(run: str, encoding) -> bool:
     """True for letters and signs, with up to four digits at the end, whose camel and snake parts are
     single tokens of three letters on average."""
-    if not _NAME.fullmatch(run):
+    body = run.rstrip("=")
+    head = body.rstrip("0123456789")
+    if len(body) - len(head) > 4 or not _LETTERS.fullmatch(head):
         return False
     parts = _PART.findall(run)
     return bool(parts) and sum(map(len, parts)) >= 3 * len(parts) and all(len(encoding.encode_ordinary(p)) == 1 for p in parts)
@@ -84,7 +88,8 @@ def is_random(run: str, encoding, chars_per_token: float = CHARS_PER_TOKEN) -> b
         return False
     if len(set(run)) < 8:
         return False
-    return len(run) < chars_per_token * len(encoding.encode_ordinary(run)) and not is_name(run, encoding)
+    tokens = sum(len(encoding.encode_ordinary(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
+    return len(run) < chars_per_token * tokens and not is_name(run, encoding)
 
 
 def all_spans(text: str, encoding, chars_per_token: float = CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
@@ -97,7 +102,7 @@ def all_spans(text: str, encoding, chars_per_token: float = CHARS_PER_TOKEN) ->
     for m in _RUN.finditer(text):
         while at < len(base) and ends[at] <= m.start():
             at += 1
-        if at < len(base) and any(s < m.end() and e > m.start() for s, _, e in base[at:] if s < m.end()):
+        if at < len(base) and base[at][0] < m.end():  # it ends behind the run's start, as none before it does
             continue
         if is_random(m[0], encoding, chars_per_token):
             found.append((m.start(), 3, m.end()))

@@ -341,6 +341,50 @@ def test_secret_expressions_do_not_backtrack(head):
     assert subprocess.run([sys.executable, "-c", code], timeout=60).returncode == 0
 
 
+@pytest.mark.parametrize("run", ["-", "=", "1", "a", "A", "/", "a1", "1-", "-a", "_1", "=a", "aB", "token ", "secret=", "AKIA", "f0"])
+@pytest.mark.parametrize("tail", ["", "12345x9", "a1b2c3xyz+", " end"])
+def test_secrets_of_very_long_runs_take_linear_time(run, tail):
+    import time
+
+    encoding = secret_scan._encoding(secret_scan.rank_path())
+    secret_scan.all_spans("warm up 8fJ3kQ9zLm2Xv7Tb", encoding)
+    text, start = run * (1_000_000 // len(run)) + tail, time.perf_counter()
+    found = secret_scan.all_spans(text, encoding)
+    assert time.perf_counter() - start < 5 and all(0 <= s < e <= len(text) for s, _, e in found)
+
+
+def plain_random(text, encoding):
+    """The token-efficiency spans by plain comparison: every maximal run against every base span."""
+    base, out = plain_secrets(text), []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        run = m[0]
+        if len(run) < 16 or any(s < m.end() and e > m.start() for s, _, e in base) or len(set(run)) < 8:
+            continue
+        if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run) and len(run) in (32, 40, 56, 64, 96, 128) or re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run):
+            continue
+        stripped = run[:-1] if run[-1] in "-_/" else run
+        numbered = re.fullmatch(r"[A-Za-z]?[0-9]([0-9]|[A-Za-z][0-9]|[-_/][A-Za-z]?[0-9])*", stripped)
+        name = re.fullmatch(r"[A-Za-z_/+=-]*?[0-9]{0,4}=*", run) and [p for p in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", run)]
+        words = name and len("".join(name)) >= 3 * len(name) and all(len(encoding.encode_ordinary(p)) == 1 for p in name)
+        if not re.fullmatch(r"[0-9_/+=-]+", run) and not numbered and not words and len(run) / len(encoding.encode_ordinary(run)) < 2:
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_random_spans_match_plain_comparison():
+    encoding = secret_scan._encoding(secret_scan.rank_path())
+    rng = random.Random(11)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef", "0123456789-_/", "aB3-=+/_", "=1a"]
+    words = ["token: ", "password=", "AKIA", " ", "\n", ".", "the ", "getElementsByClassName", "max_records_per_batch", "2024-01-02T11", "é", "x" * 20, "123e4567-e89b-12d3-a456-426614174000"]
+    hits = 0
+    for _ in range(1500):
+        text = "".join(rng.choice(words) if rng.random() < 0.5 else "".join(rng.choices(rng.choice(alphabets), k=rng.randint(1, 45))) for _ in range(rng.randint(1, 12)))
+        got = secret_scan.all_spans(text, encoding)
+        assert got == sorted(plain_secrets(text) + plain_random(text, encoding)), text
+        hits += sum(k == 3 for _, k, _ in got)
+    assert hits > 300
+
+
 @pytest.mark.parametrize("size", [16, 20, 32, 40])
 def test_letters_only_and_short_keys_are_found(size):
     encoding = secret_scan._encoding(secret_scan.rank_path())
