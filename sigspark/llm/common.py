@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -54,7 +55,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("sigspark.shared.dir", None)
     if not given:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         given = "file://" + tempfile.mkdtemp(prefix="sigspark-")
         spark.conf.set("sigspark.shared.dir", given)
@@ -84,7 +85,14 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """
     path = shared_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.cut_path = path
+    return made
+
+
+def drop(made: DataFrame) -> None:
+    """Delete a table made by cut, which nothing reads any more."""
+    drop_path(made.sparkSession, made.cut_path)
 
 
 def utf8_view(column) -> tuple[np.ndarray, np.ndarray]:

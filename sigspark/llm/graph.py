@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -32,8 +32,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         joined = large.join(least, "hi")
         small = joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").union(least.select("hi", F.col("m").alias("lo"))).distinct()
-        pairs = cut(small, "links")
+        before, pairs = pairs, cut(small, "links")
         was, now = now, state(pairs)
+        drop(before)  # the rounds leave one table
+        drop(large)
         if was == now:
             break
     roots = pairs.groupBy("hi").agg(F.min("lo").alias("root")).select(F.col("hi").alias("node"), "root")
