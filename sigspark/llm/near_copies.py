@@ -1,8 +1,10 @@
-"""Near copies by the Jaccard similarity of five-word shingles.
+"""Op 4's near-dedup over five-word shingles at a Jaccard similarity of 0.8 or more.
 
-MinHash bands propose: texts that agree in one band of ROWS minima are tied, and the tied sets are gathered.
-Within each gathered set the shingles themselves decide: texts with SIMILARITY or more are linked. The
-exact test is run block by block, as in simhash, and yields links that connect what all pairs would.
+Fingerprints are simhash's, of distinct five-word shingles. Such pairs differ in 10 of 64 bits on average, which no grid of segment popcounts
+can tell from unrelated ones at size; so simhash.links runs with a radius of RADIUS bits in other cells: texts meet that agree in one band of ROWS
+minima of their shingles. There the popcounts' Manhattan distance is the lower bound and the Hamming distance the
+test, as in op 4; then the shingles themselves decide: texts with SIMILARITY or more are linked.
+Sets of linked fingerprints are verified block by block; what links with a set's first text needs no further pair.
 """
 
 from __future__ import annotations
@@ -13,11 +15,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import cut, groups, light_batches, mix64, pick, utf8_view
 from .graph import components
 
-#: Words of a shingle; least similarity of near copies; seed.
-SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
+#: Words of a shingle; least similarity of near copies.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Largest Hamming distance that is verified: a pair at similarity 0.8 differs in 10 bits, with a deviation of 3.
+RADIUS = 22
 #: Bands and minima of a band: a pair at similarity 0.8 shares no band with probability (1 - 0.8**6)**40, 5e-6.
 BANDS, ROWS = 40, 6
 #: Texts of a gathered set that one block holds, about.
@@ -27,11 +32,11 @@ _MIX = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E377
 
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; a text of fewer words is one shingle, without words none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    own = [b" ".join(words)] if len(words) < SHINGLE else map(b" ".join, zip(*[words[k:] for k in range(SHINGLE)]))
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in own], np.uint64))
+    return _hashes(simhash.shingle_digests(text, SHINGLE))
+
+
+def _hashes(digests: list[bytes]) -> np.ndarray:
+    return np.unique(np.frombuffer(b"".join(digests), ">u8").astype(np.uint64))
 
 
 def bands(own: np.ndarray) -> np.ndarray:
@@ -84,74 +89,125 @@ def connect(nodes: np.ndarray, sets: list[np.ndarray], similarity: float = SIMIL
 
 
 def _prints(docs: DataFrame, text: str, key: str, row: str) -> DataFrame:
-    """(key, row, print, bands): print is equal for equal sets of shingles."""
+    """(key, row, fp, print, bands): print is equal for equal sets of shingles."""
     light_batches(docs.sparkSession)
     source = pick(docs, key=key, row=row, text=text)
 
     def run(batches):
         for batch in (b.slice(i, j - i) for b in batches for i, j in groups(utf8_view(b.column(2))[0])):
-            digests, found = [], []
+            fps, digests, found = [], [], []
             for value in batch.column(2):
-                own = shingles(value.as_py())
+                every = simhash.shingle_digests(value.as_py(), SHINGLE)
+                fps.append(simhash.majority(sorted(set(every))))
+                own = _hashes(every)
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 found.append(bands(own))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["key", "row", "print", "bands"])
+            arrays = [batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "row", "fp", "print", "bands"])
 
-    return source.mapInArrow(run, f"key {source.schema['key'].dataType.simpleString()}, row long, print binary, bands array<long>")
+    return source.mapInArrow(run, f"key {source.schema['key'].dataType.simpleString()}, row long, fp long, print binary, bands array<long>")
 
 
-def _verified(texts: DataFrame) -> DataFrame:
-    """(a, b) of texts (node, root, n, text): links within each root's n texts."""
+def _with_shingles(texts: DataFrame) -> DataFrame:
+    """(node, root, n, lead, own) of texts (node, root, n, lead, text)."""
 
     def sets(batches):
-        for batch in (b.slice(i, j - i) for b in batches for i, j in groups(utf8_view(b.column(3))[0])):
-            found = [shingles(t.as_py()) for t in batch.column(3)]
+        for batch in (b.slice(i, j - i) for b in batches for i, j in groups(utf8_view(b.column(4))[0])):
+            found = [shingles(t.as_py()) for t in batch.column(4)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "root", "n", "own"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "root", "n", "lead", "own"])
+
+    return texts.select("node", "root", "n", "lead", "text").mapInArrow(sets, "node long, root long, n long, lead long, own array<long>")
+
+
+def _linked(dealt: DataFrame, by: list[str], keep_rest: bool) -> DataFrame:
+    """(a, b) within each group of dealt (*by, lead, node, own); with keep_rest also (node, null) for those of groups of
+    several blocks that no link ties to lead there."""
+    n = len(by)
 
     def run(batches):
+        def links_of(nodes, own, lead, big):
+            a, b = connect(np.array(nodes, np.int64), own)
+            if keep_rest and big:
+                up = {x: x for x in nodes}
+
+                def top(x):
+                    while up[x] != x:
+                        up[x] = up[up[x]]
+                        x = up[x]
+                    return x
+
+                for x, y in zip(a, b):
+                    up[top(x)] = top(y)
+                far = [x for x in nodes if top(x) != top(lead)]
+                a, b = a + far, b + [None] * len(far)
+            return a, b
+
         last, nodes, own = None, [], []
         for batch in batches:
             a, b = [], []
-            keys = list(zip(*[batch.column(i).to_pylist() for i in range(3)]))
-            ids, lists = batch.column(3).to_pylist(), batch.column(4)
+            keys = list(zip(*[batch.column(i).to_pylist() for i in range(n + 2)]))
+            ids, lists = batch.column(n + 2).to_pylist(), batch.column(n + 3)
             for k, key in enumerate(keys):
                 if key != last:
-                    got = connect(np.array(nodes, np.int64), own)
-                    a += got[0]
-                    b += got[1]
+                    if last is not None:
+                        got = links_of(nodes, own, last[n], last[n + 1])
+                        a += got[0]
+                        b += got[1]
                     last, nodes, own = key, [], []
                 nodes.append(ids[k])
                 own.append(lists[k].values.to_numpy(zero_copy_only=False).view(np.uint64).copy())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        got = connect(np.array(nodes, np.int64), own)
-        yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64())], ["a", "b"])
+        if last is not None:
+            got = links_of(nodes, own, last[n], last[n + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64())], ["a", "b"])
+
+    dealt = dealt.select(*by, "lead", (F.col("blocks") > 1).alias("big"), "node", "own")
+    return dealt.repartition(*by).sortWithinPartitions(*by, "node").mapInArrow(run, "a long, b long")
 
-    found = texts.select("node", "root", "n", "text").mapInArrow(sets, "node long, root long, n long, own array<long>")
-    many = found.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    many = many.select("root", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "own")
-    by = ["root", "lo", "hi"]
-    return many.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
+
+def _verified(texts: DataFrame) -> DataFrame:
+    """(a, b) of texts (node, root, n, lead, text): links within each root's n texts; lead is its smallest node."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    mine = lambda c: F.array(F.pmod(F.xxhash64("node"), F.col(c)))
+    found = _with_shingles(texts).withColumn("blocks", blocks)
+    # First each block by itself, with the set's lead in all of them.
+    first = found.withColumn("block", F.explode(F.when(F.col("node") == F.col("lead"), upto("blocks")).otherwise(mine("blocks"))))
+    got = cut(_linked(first, ["root", "block"], True), "near")
+    links, rest = got.where("b is not null"), got.where("b is null").select(F.col("a").alias("node"))
+    if not rest.limit(1).count():
+        return links
+    # Then what its block did not tie to the lead, in chunks, with every block.
+    rest = cut(found.select("node", "root").join(rest.hint("merge"), "node"), "rest")
+    chunks = cut(rest.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("chunks")), "chunks")
+    far = found.join(chunks, "root").join(rest.select("node", F.lit(True).alias("far")), "node", "left")
+    part = lambda chunk, block: F.struct(chunk.alias("chunks"), block.alias("blocks"))
+    roles = F.array(part(upto("chunks"), mine("blocks")), F.when(F.col("far"), part(mine("chunks"), upto("blocks"))))
+    far = far.select("root", "lead", "node", "own", F.col("blocks").alias("all"), F.explode(F.array_compact(roles)).alias("role"))
+    far = far.select("root", "lead", "node", "own", "all", "role.blocks", F.explode("role.chunks").alias("chunk"))
+    far = far.select("root", "lead", "node", "own", F.col("all").alias("blocks"), "chunk", F.explode("blocks").alias("block"))
+    return links.union(_linked(far, ["root", "chunk", "block"], False))
 
 
 def dropped(docs: DataFrame, text: str, key: str, row: str = "row") -> DataFrame:
-    """The rows (row) of docs that are near copies of one with a smaller key; row is unique."""
+    """The rows (row) of docs that are near copies of one with a smaller key; row is unique, and docs are a stored table:
+    they are read several times."""
     prints = cut(_prints(docs, text, key, row), "prints")
-    nodes = cut(prints.groupBy("print").agg(F.min("key").alias("rep"), F.min("row").alias("node")), "nodes")
+    nodes = cut(prints.groupBy("print").agg(F.min("key").alias("rep"), F.min("row").alias("node"), F.min("fp").alias("fp")), "nodes")  # equal sets have equal fingerprints
     # Only one row of each set of shingles is compared.
-    single = prints.join(nodes.select(F.col("node").alias("row")).hint("merge"), "row").select(F.col("row").alias("node"), F.posexplode("bands").alias("band", "cell"))
-    cells = cut(single, "bands")
-    least = cells.groupBy("band", "cell").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    tied = cells.join(least, ["band", "cell"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    gathered = cut(components(tied), "gathered")
-    size = gathered.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    gathered = cut(gathered.join(size, "root"), "sized")
+    single = prints.join(nodes.select(F.col("node").alias("row")).hint("merge"), "row").select("fp", F.posexplode("bands").alias("space", "cell"))
+    cells = cut(single.distinct().withColumn("home", F.lit(True)), "bands")
+    near = cut(components(simhash.links(cells.select("fp").distinct(), RADIUS, cells)), "gathered")
+    placed = nodes.select("node", "fp").join(near.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
+    placed = cut(placed.select("node", F.coalesce("root", "fp").alias("root")), "placed")
+    size = cut(placed.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1"), "sized")
+    gathered = placed.join(size.hint("merge"), "root")
     source = pick(docs, node=row, text=text)
-    links = cut(_verified(source.join(gathered.hint("merge"), "node")), "near")
+    links = cut(_verified(source.join(gathered.hint("merge"), "node")), "verified")
     roots = cut(components(links), "roots")
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = cut(named.groupBy("root").agg(F.min("rep").alias("best")), "best")

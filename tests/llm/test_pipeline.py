@@ -18,9 +18,28 @@ def make(spark):
     rows = [(i, text(i), "en", f"s{i % 4}", None, 1, "x", "y") for i in range(60)]
     rows += [(100, text(3), "en", "s1", 5, 1, "x", "y"), (101, None, "en", "s1", 5, 1, "x", "y"), (102, "123 !!", "en", None, 5, 1, "x", "y"), (3, text(3), "en", "s1", 5, 1, "x", "y"), (None, text(5), None, None, None, 1, "x", "y")]
     rows += [(103, text(70) + ' token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end', "en", "s2", 900, 1, "x", "y")]
+    other = " ".join(f"word{k * 37 % 101} of" for k in range(40))
+    rows += [(104, other + ' token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end', "en", "s2", 900, 1, "x", "y")]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
+def plain_groups(texts):
+    """The smallest place that links at a Jaccard similarity of 0.8 of five-word shingles reach, by all pairs."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    group, changed = list(range(len(texts))), True
+    while changed:
+        changed = False
+        for i, j in near:
+            low = min(group[i], group[j])
+            changed |= group[i] != low or group[j] != low
+            group[i] = group[j] = low
+    return group
+
+
 def test_stages(spark, tmp_path):
     docs = make(spark)
     path = str(tmp_path / "d.parquet")
@@ -36,15 +55,7 @@ def test_stages(spark, tmp_path):
         if name == "language_id":
             assert sorted(str(r) for r in after) == sorted(str(r) for r in before if r["text"] and any(c.isalpha() for c in r["text"]))
         elif name == "simhash_dedup":
-            fps = [simhash.fingerprint(r["text"]) for r in before]
-            group = list(range(len(before)))
-            changed = True
-            while changed:
-                changed = False
-                for i in range(len(before)):
-                    for j in range(len(before)):
-                        if bin((fps[i] ^ fps[j]) & (2**64 - 1)).count("1") <= 3 and group[j] > group[i]:
-                            group[j], changed = group[i], True
+            group = plain_groups([r["text"] for r in before])
             least = {}
             for r, g in zip(before, group):
                 key = (r["doc_id"] is None, r["doc_id"])
@@ -53,8 +64,8 @@ def test_stages(spark, tmp_path):
         elif name == "secrets":
             assert len(after) == len(before)
             by = {r["doc_id"]: r for r in after}
-            assert "04dbebab" not in by[103]["text"] and by[103]["n_chars"] == len(by[103]["text"])
-            assert all(by[r["doc_id"]] == r for r in before if r["doc_id"] != 103)
+            assert "04dbebab" not in by[104]["text"] and by[104]["n_chars"] == len(by[104]["text"])
+            assert all(by[r["doc_id"]] == r for r in before if r["doc_id"] != 104)
         else:
             copies = {r["row"]: r for r in []}
             counts = {}
@@ -107,21 +118,63 @@ def test_near_dedup_finds_edited_copies(spark):
                 other[at : at + 1] = [f"v{rng.randrange(5000)}"] * rng.randrange(3)
             texts.append(" ".join(other))
     rng.shuffle(texts)
-    # What plain comparison of all pairs connects.
-    sets = []
-    for t in texts:
-        w = t.split()
-        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
-    group, changed, far = list(range(len(texts))), True, 0
-    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= near_copies.SIMILARITY]
-    for i, j in near:
-        far += bin((simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])) & (2**64 - 1)).count("1") > 3
-    while changed:
-        changed = False
-        for i, j in near:
-            low = min(group[i], group[j])
-            changed |= group[i] != low or group[j] != low
-            group[i] = group[j] = low
+    group = plain_groups(texts)
+    far = sum(bin((simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[g])) & (2**64 - 1)).count("1") > 3 for i, g in enumerate(group))
     docs = spark.createDataFrame([(i, t, "en", "s", len(t), 1, "x", "y") for i, t in enumerate(texts)], SCHEMA)
     got = sorted(r["doc_id"] for r in cp.simhash_dedup(spark, docs, "").collect())
     assert far > 0 and got == sorted(set(group))
+
+
+def test_near_dedup_of_a_large_set_over_blocks(spark, monkeypatch):
+    import random
+
+    from sigspark.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(60):  # near copies of one text, then a chain that drifts away from it
+        other = list(base)
+        other[rng.randrange(120)] = f"v{k}"
+        texts.append(" ".join(other))
+    drift = list(base)
+    for k in range(30):
+        drift[4 * k] = f"d{k}"
+        texts.append(" ".join(drift))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 1, "x", "y") for i, t in enumerate(texts)], SCHEMA)
+    got = sorted(r["doc_id"] for r in cp.simhash_dedup(spark, docs, "").collect())
+    assert got == sorted(set(plain_groups(texts)))
+
+
+def test_stages_do_not_depend_on_splits(spark, tmp_path):
+    """Rows keep their numbers where splits change between two readings, as a lost executor changes them."""
+    import random
+
+    rng = random.Random(9)
+    rows = [(i % 200, " ".join(f"w{rng.randrange(40)}" for _ in range(60)) if i < 200 else None, "en", f"s{i % 3}", None, 1, "x", "y") for i in range(200)]
+    rows += [(1000 + i, rows[i][1], "en", "s0", None, 1, "x", "y") for i in range(60)]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, SCHEMA).repartition(6).write.parquet(path)
+    old = cp.cut
+
+    def moving(df, label="cut"):
+        made = old(df, label)
+        size = "4096" if spark.conf.get("spark.sql.files.maxPartitionBytes") != "4096" else "134217728"
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        return made
+
+    for stage in (cp.simhash_dedup, cp.source_mixing):
+        plain = sorted(map(str, stage(spark, spark.read.parquet(path), "").collect()))
+        try:
+            cp.cut = moving
+            moved = sorted(map(str, stage(spark, spark.read.parquet(path), "").collect()))
+        finally:
+            cp.cut = old
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "134217728")
+        if stage is cp.simhash_dedup:
+            assert moved == plain
+        else:
+            assert len(moved) == len(plain)
