@@ -22,6 +22,13 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     return docs.toDF(*[f"p{i}" for i in range(len(docs.columns))]), docs.columns
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """_placed with a unique number "row". The numbered rows are written once: what reads them again, with other splits or after
+    losing an executor, finds the same numbers."""
+    rows, names = _placed(docs)
+    return cut(rows.withColumn("row", F.monotonically_increasing_id()), "numbered"), names
+
+
 def _at(names: list[str], name: str) -> str:
     return f"p{names.index(name)}"
 
@@ -37,8 +44,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies (five-word shingles at Jaccard 0.8 or more): the smallest
     doc_id, null last, then the first in the table."""
-    rows, names = _placed(docs)
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows, names = _numbered(docs)
     own = F.col(_at(names, "doc_id"))
     keyed = rows.withColumn("key", F.struct(own.isNull().alias("none"), own.alias("id"), "row"))
     dropped = cut(near_copies.dropped(keyed, _at(names, "text"), "key"), "dropped")
@@ -61,8 +67,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents as the mix takes them: a row per copy."""
-    rows, names = _placed(docs)
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows, names = _numbered(docs)
     taken = mixing.entropy_balance(rows, text=_at(names, "text"), source=_at(names, "source"), key="row")
     taken = cut(taken.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")), "copies")
     return rows.join(taken.hint("merge"), "row").select(*[f"p{i}" for i in range(len(names))]).toDF(*names)
