@@ -43,9 +43,7 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
-#: Pairs of two such words are left out of the longer templates: they vote for nothing.
-_COMMON = frozenset("a an and any are as at be by for from in is it not of on or that the this to with you".split())
-#: Share of a template's pairs that must vote for a span; largest step between merged diagonals; largest gap in words.
+#: Share of a template's words that an aligned span keeps; largest step between merged diagonals; largest gap in words.
 VERIFIED, DIAGONAL_STEP, GAP = 0.8, 2, 8
 #: Word pairs in a row of hashes that goes to the join; longer texts take more rows.
 _CHUNK = 4096
@@ -66,21 +64,69 @@ def hash_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def template_rows(base=BASE, templates=TEMPLATES) -> list[tuple]:
-    """(pair hash, template, place, its vote as a bit, base, label, pairs, all votes)."""
+    """(pair hash, template, place, its vote as a bit, base, label, words, all votes)."""
     rows = [(_MARK, -1, -1, 0, False, "", 0, 0)]
     for i, (label, phrase) in enumerate([*base, *templates]):
         data = np.frombuffer(phrase.encode(), np.uint8)
         words = phrase.split(" ")
         _, hashes = hash_words(data, np.array([0, len(data)]))
-        own = i < len(base)
-        places = [k for k in range(len(words) - 1) if own or len(words) < 6 or not {words[k], words[k + 1]} <= _COMMON]
-        if not places or len(words) > 60:
+        if not 2 <= len(words) <= 60:
             raise ValueError(f"a template takes 2 to 60 words: {phrase!r}")
-        full = sum(1 << k for k in places)
-        rows += [(int(pair_hashes(hashes)[k]), i, k, 1 << k, own, label, len(places), full) for k in places]
+        full = (1 << (len(words) - 1)) - 1
+        rows += [(int(h), i, k, 1 << k, i < len(base), label, len(words), full) for k, h in enumerate(pair_hashes(hashes))]
     return rows
 
 
+def align(hits: list[tuple[int, int]], words: int) -> tuple[int, int, int]:
+    """(errors, first word, last word) of the best in-order chain of hits (place in the text, place in the template).
+
+    A hit says that two words in a row are the template's. Between two hits of a chain the larger number of words
+    between them, in the text or in the template, counts as errors, and so do the template's words before the first and after the last hit."""
+    hits = sorted(set(hits))
+    best: list[tuple[int, int]] = []  # (errors, first place) of the best chain that ends in each hit
+    found = (words, 0, 0)
+    for at, place in hits:
+        own = (place, at)
+        for k in range(len(best) - 1, -1, -1):
+            was, had = hits[k]
+            if at - was > words + GAP:
+                break
+            if was < at and had < place:
+                gap, left = at - was - 2, place - had - 2
+                errors = best[k][0] + (max(gap, left) if gap >= 0 and left >= 0 else abs(gap - left))
+                own = min(own, (errors, best[k][1]))
+        best.append(own)
+        found = min(found, (own[0] + words - 2 - place, own[1], at + 1))
+    return found
+
+
+def _verify(spans: DataFrame, kind: str) -> DataFrame:
+    """spans with share, and lo and hi of the aligned words; spans with all votes pass as they are."""
+
+    def run(batches):
+        for batch in batches:
+            names = batch.schema.names
+            rows = batch.to_pydict()
+            lo, hi, share = [], [], []
+            for i in range(batch.num_rows):
+                size = rows["size"][i]
+                if rows["full"][i] or not rows["hits"][i]:
+                    lo.append(rows["lo"][i])
+                    hi.append(rows["hi"][i])
+                    share.append(1.0 if size else None)
+                    continue
+                places = [(d + k, k) for x in rows["hits"][i] for d, v in ((x["diagonal"], x["votes"]),) for k in range(v.bit_length()) if v >> k & 1]
+                errors, start, end = align(places, size)
+                lo.append(start)
+                hi.append(end - 1)
+                share.append(max(0.0, 1 - errors / size))
+            columns = [c for n, c in zip(names, batch.columns) if n not in ("hits", "lo", "hi")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(share, pa.float64())], [*[n for n in names if n not in ("hits", "lo", "hi")], "lo", "hi", "share"])
+
+    kept = [f"{n} {t}" for n, t in spans.dtypes if n not in ("hits", "lo", "hi")]
+    return spans.mapInArrow(run, ", ".join([*kept, "lo long", "hi long", "share double"]))
+
+
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", *, base=BASE, templates=TEMPLATES) -> DataFrame:
     """Licenses named in every whole text, one row per row of docs.
 
@@ -152,12 +198,15 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", *, base=BASE,
     diagonals = diagonals.withColumn("near1", near(1)).withColumn("near2", near(2))
     apart = F.col("full") | ~(F.col("near1") | F.col("near2") | F.coalesce(F.lead("near2").over(order), F.lit(False)))
     diagonals = diagonals.withColumn("span", F.sum(apart.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # A word replaced or left out takes two votes: a span that could verify has this share of them.
+    enough = F.bit_count("votes") >= (F.col("size") - 1) - 2 * F.floor(F.col("size") * (1 - VERIFIED) + 1e-9)
     spans = diagonals.groupBy(*same, "full", "span").agg(
-        F.bit_or("votes").alias("votes"), F.min("diagonal").alias("start"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+        F.bit_or("votes").alias("votes"), F.min("diagonal").alias("start"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.collect_list(F.when(~F.col("full") & ~F.col("base"), F.struct("diagonal", "votes"))).alias("hits"),
     )
-    share = F.when(F.col("size") > 0, F.bit_count("votes") / F.col("size"))
-    spans = spans.withColumn("share", share)
-    good = (F.col("template") >= 0) & (F.col("full") | (~F.col("base") & (F.col("share") >= VERIFIED)))
+    spans = spans.where(F.col("full") | (~F.col("base") & enough))
+    spans = _verify(spans.select("row", "key", "n_words", "template", "base", "label", "size", "full", "start", "lo", "hi", "hits"), kind)
+    good = (F.col("template") >= 0) & (F.col("full") | (F.col("share") >= VERIFIED - 1e-9))
     place = good & F.col("base")
     labels = lambda which: F.concat_ws(",", F.array_sort(F.collect_set(F.when(which, F.col("label")))))
     return spans.groupBy("row", "key", "n_words").agg(
