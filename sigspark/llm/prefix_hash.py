@@ -2,8 +2,9 @@
 
 A text's prefix arrays (modulo two primes) give the hash of any span in constant time,
 decide whether two spans are equal, and locate the longest common extension of two
-places by binary search. A fingerprint is the whole text's hash and a sketch: the
-smallest span hash in each of SLOTS classes over all windows of WIDTH code points, in short texts also of NARROW.
+places by binary search. A fingerprint is the whole text's hash and sketches: the
+smallest span hash in each of SLOTS classes over all windows of a width. Every text has a sketch of windows of 16 code points;
+shorter texts have further ones of narrower windows, so that what two short texts share is graded too.
 """
 
 from __future__ import annotations
@@ -20,10 +21,8 @@ from .common import cut, light_batches, mix64, pick, table
 
 #: Two primes and a base for each.
 PRIMES, BASES = (2**31 - 1, 2**31 - 19), (911_382_323, 972_663_749)
-#: Code points of a window; classes of the sketch.
-WIDTH, SLOTS = 16, 64
-#: Texts below SHORT code points are sketched by windows of NARROW too, so that short edited texts keep common spans.
-SHORT, NARROW = 48, 4
+#: Code points of a window, and below which length a text is sketched by such windows; classes of a sketch.
+WIDTHS, SLOTS = ((16, None), (4, 96), (1, 16)), 64
 
 
 class _Powers:
@@ -62,7 +61,7 @@ class PrefixHash:
             (int(a[end]) - int(a[start])) * pow(b, -start, p) % p for a, b, p in zip(self.arrays, BASES, PRIMES)
         )  # type: ignore[return-value]
 
-    def windows(self, width: int = WIDTH) -> np.ndarray:
+    def windows(self, width: int) -> np.ndarray:
         """The hash (first prime) of each window; a shorter text is one window."""
         width = min(width, self.n)
         if not width:
@@ -98,13 +97,10 @@ def longest_common_extension(x: PrefixHash, i: int, y: PrefixHash, j: int) -> in
     return low
 
 
-def sketch(x: PrefixHash) -> np.ndarray:
+def sketch(x: PrefixHash, width: int) -> np.ndarray:
     """A byte per class: 0 if no window falls in it, else 1 + the smallest hash modulo 255."""
     out = np.zeros(SLOTS, np.uint8)
-    hashes = mix64(x.windows())
-    if NARROW < x.n < SHORT:
-        # A span's hash does not tell its length: narrow windows are mixed apart.
-        hashes = np.concatenate([hashes, mix64(x.windows(NARROW) + np.uint64(1 << 40))])
+    hashes = mix64(x.windows(width) + np.uint64(width << 40))
     if len(hashes):
         slot = (hashes >> np.uint64(58)).astype(np.uint8)  # SLOTS is 2**6
         order = np.argsort(slot, kind="stable")
@@ -116,17 +112,19 @@ def sketch(x: PrefixHash) -> np.ndarray:
 
 
 def fingerprint(x: PrefixHash) -> str:
-    """Hex digits: 16 of the whole text's hash, two per class of the sketch."""
-    return "".join(f"{int(a[-1]):08x}" for a in x.arrays) + sketch(x).tobytes().hex()
+    """Hex digits: 16 of the whole text's hash, then two per class of each sketch that the text's length calls for."""
+    own = [sketch(x, width).tobytes().hex() for width, below in WIDTHS if below is None or x.n < below]
+    return "".join([*[f"{int(a[-1]):08x}" for a in x.arrays], *own])
 
 
 def likeness(a: str, b: str) -> float:
     """The share of classes in which two fingerprints agree (0 to 1), less chance agreement; 1 if they are equal.
 
-    It estimates the Jaccard similarity of the texts' windows."""
+    It estimates the Jaccard similarity of the texts' windows: of single code points if both are below 16, of 4 if both are below 96, else of 16."""
     if a == b:
         return 1.0
-    x, y = np.frombuffer(bytes.fromhex(a[16:]), np.uint8), np.frombuffer(bytes.fromhex(b[16:]), np.uint8)
+    end = min(len(a), len(b))
+    x, y = (np.frombuffer(bytes.fromhex(t[end - 2 * SLOTS : end]), np.uint8) for t in (a, b))
     used = np.count_nonzero(x | y)
     if not used:
         return 0.0
