@@ -12,15 +12,18 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, groups, light_batches, mix64, pick, table, utf8_view
 
 #: Labelled documents per language that the filters are learned from, at most (expected).
 TRAIN_DOCS = 3000
-#: n-grams per language, bytes of one, hash functions, log2 of slots.
-TOP_GRAMS, GRAM, HASHES, LOG_SLOTS = 60_000, 4, 3, 20
+#: Languages that are learned, at most (those with most documents); n-grams of a language and of all languages together, at most (the
+#: most frequent): the filters' capacity.
+MAX_LANGUAGES, TOP_GRAMS, ALL_GRAMS = 1024, 1 << 18, 1 << 22
+#: Bytes of an n-gram, hash functions, log2 of slots.
+GRAM, HASHES, LOG_SLOTS = 4, 3, 22
 #: An n-gram counts as contained in a language if its share there is at least this part of its largest share.
 CONTAINED = 0.5
 UNDETERMINED = "und"
@@ -96,46 +99,42 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     """Filters of all languages among the rows' labels.
 
     Rows with a null text or label teach nothing. About train_docs documents per
-    language are read, picked by a hash of their keys; whole texts are counted. What the driver
-    gets is bounded by TOP_GRAMS n-grams per language.
+    language are read, picked by a hash of key and text; whole texts are counted. What the driver
+    gets is bounded by MAX_LANGUAGES and ALL_GRAMS.
     """
-    rows = pick(docs, key=key, text=text, lang=lang)
-    many = {r["lang"]: r["n"] for r in rows.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    languages = sorted(many)
+    rows = pick(docs, key=key, text=text, lang=lang).where("text is not null and lang is not null")
+    many = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES)
+    languages = sorted((r["lang"], r["docs"]) for r in many.collect())
     if not languages:
         return LanguageFilters([], np.zeros((1, 1 << LOG_SLOTS), np.uint8), np.zeros(0))
     scale = 1 << 30
-    keep = F.lit(0)
-    for name in languages:
-        keep = F.when(F.col("lang") == name, F.lit(int(scale * min(1.0, train_docs / many[name])))).otherwise(keep)
-    sample = rows.where("text is not null and lang is not null").where(F.pmod(F.xxhash64("key"), F.lit(scale)) < keep).select("lang", "text")
-    place = {name: i for i, name in enumerate(languages)}
+    shares = [(name, i, int(scale * min(1.0, train_docs / n))) for i, (name, n) in enumerate(languages)]
+    shares = docs.sparkSession.createDataFrame(shares, "lang string, at int, share long")
+    # At most MAX_LANGUAGES rows.
+    sample = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("key", "text"), F.lit(scale)) < F.col("share")).select("at", "text")
 
     def count(batches):
         for batch in batches:
             by: dict[int, list[bytes]] = {}
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                by.setdefault(place[name], []).append(_padded(value.as_py()))
+            for i, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                by.setdefault(i, []).append(_padded(value.as_py()))
             for i, texts in by.items():
                 start = 0
                 for end in range(256, len(texts) + 256, 256):
                     grams, n = np.unique(np.concatenate([grams_of(t) for t in texts[start:end]]), return_counts=True)
                     start = end
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), i, np.int32)), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
-
-    counts = sample.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = cut(counts, "langid-counts")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    share = F.lit(0.0)
-    for i, n in totals.items():
-        share = F.when(F.col("lang") == i, F.col("n") / F.lit(float(n))).otherwise(share)
-    shares = counts.where("n >= 3").withColumn("share", share)
-    grams = []
-    for i in range(len(languages)):
-        own = shares.groupBy("gram").agg(F.max(F.when(F.col("lang") == i, F.col("share"))).alias("own"), F.max("share").alias("most"))
-        own = own.where(F.col("own") >= CONTAINED * F.col("most")).orderBy(F.desc("own"), "gram").limit(TOP_GRAMS).select("gram")
-        grams.append(np.array([r[0] for r in own.collect()], np.int64))
-    return LanguageFilters.build(languages, grams)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), i, np.int32)), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], ["at", "gram", "n"])
+
+    counts = cut(sample.mapInArrow(count, "at int, gram long, n long").groupBy("at", "gram").agg(F.sum("n").alias("n")), "langid-counts")
+    totals = counts.groupBy("at").agg(F.sum("n").alias("total"))
+    shared = counts.join(F.broadcast(totals), "at").withColumn("own", F.col("n") / F.col("total"))  # at most MAX_LANGUAGES rows
+    most = F.max("own").over(Window.partitionBy("gram"))  # a row per language
+    top = max(1, min(TOP_GRAMS, ALL_GRAMS // len(languages)))
+    contained = shared.withColumn("most", most).where(F.col("own") >= CONTAINED * F.col("most"))
+    ranked = contained.withColumn("rank", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= top)
+    found = ranked.select("at", "gram").toPandas()
+    grams = [found["gram"].to_numpy(np.int64)[(found["at"] == i).to_numpy()] for i in range(len(languages))]
+    return LanguageFilters.build([name for name, _ in languages], grams)
 
 
 def predict(docs: DataFrame, model: LanguageFilters, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
