@@ -56,12 +56,13 @@ def _rate(lam: Column, x: Column, most: float) -> Column:
     return F.when(lam.isNull(), F.lit(most)).otherwise(F.least(F.lit(most), F.exp(F.least(F.lit(50.0), lam * x))))
 
 
-def solve_tilts(hist: DataFrame, targets: DataFrame, most: float = 2.0, tol: float = 1e-6, rounds: int = 40) -> DataFrame:
+def solve_tilts(hist: DataFrame, targets: DataFrame, most: float = 2.0, tol: float = 1e-6, rounds: int = 200) -> DataFrame:
     """(source, unit, lam): the tilt of each source; lam null stands for the highest rate.
 
     hist: (source, size, docs). Safeguarded Newton steps on log(words taken); each step is
     one aggregation by source. A step that leaves the bracket is replaced
-    by the bracket's middle. Two steps are taken between cuts of the lineage.
+    by the bracket's middle. Two steps are taken between cuts of the lineage, until every source meets its
+    target; a source that does not within ``rounds`` steps is an error.
     """
     start = targets.withColumn("unit", F.col("source_size") / F.col("n"))
     state = cut(
@@ -98,6 +99,8 @@ def solve_tilts(hist: DataFrame, targets: DataFrame, most: float = 2.0, tol: flo
         active = cut(step(step(active)), "mix-tilt")
         if not active.where(F.col("gap") >= tol).limit(1).count():
             break
+    else:
+        raise RuntimeError(f"targets not met within {rounds} Newton steps")
     # Sums over executors differ in their last bits from run to run; nine digits do not.
     return active.unionByName(closed).select("s", "unit", F.round("lam", 9).alias("lam"))
 
@@ -134,7 +137,9 @@ def _balance(narrow: DataFrame, share: float, most: float, weights: tuple = WEIG
     rate = F.when(F.col("target") <= 0, 0.0).otherwise(_rate(F.col("lam"), F.col("size") / F.col("unit"), most))
     rows = rows.withColumn("rate", F.when(F.col("size") == 0, 1.0).otherwise(rate))
     # Keys are spread over a source's buckets; a key that many rows share is spread by size as well.
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "size"), F.col("buckets")))
+    # Rows of size 0 take one copy wherever they stand: any place in the table will do, so that they form no bucket of their own.
+    spread = F.when(F.col("size") > 0, F.xxhash64("key", "size")).otherwise(F.monotonically_increasing_id())
+    rows = rows.withColumn("bucket", F.pmod(spread, F.col("buckets")))
     order = Window.partitionBy("s", "bucket").orderBy(F.desc("size"), F.xxhash64("key"), "key")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
