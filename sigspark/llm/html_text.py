@@ -1,17 +1,19 @@
 """Main text of HTML pages by tag-path ratios.
 
-Text length, punctuation and text nodes are aggregated per root-to-leaf tag path of a page. The
-ratios are smoothed over the page's sequence of nodes, fused by their product, and paths above a
-threshold are content. Elements that never hold an article's text (menus, headers, footers,
-sidebars, forms, scripts, adverts, reader comments) are cut before.
+Text length, punctuation and link text are aggregated per root-to-leaf tag path of a page. The
+ratios are fused, smoothed over neighbouring blocks of the same or a sibling path, and paths whose score reaches a part of the page's mean (weighted
+by text) are content. The content's nodes select: on a page with article or main elements those of them that hold content
+come out whole; on other pages the deepest element that holds nearly all content, from the first to the last of it.
+Elements that never hold an article's text (menus, headers, footers,
+sidebars, forms, scripts, adverts, reader comments), by tag or by class, id and role, are cut before.
 """
 
 from __future__ import annotations
 
 import html as htmllib
+import math
 import re
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,31 +35,56 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
 _SPACE = re.compile(r"\s+")
 _MARKS = re.compile(r"[.,;:!?。，；：！？、]")
-#: A path is content if its fused score reaches this part of the page's best score, by logarithms.
-THRESHOLD = 0.1
+#: A path is content if its score reaches this part of the page's mean score, weighted by text.
+THRESHOLD = 0.65
+#: Weight of a neighbouring block of a sibling path in smoothing; share of the content that the main element holds.
+SIBLING, MAIN = 0.25, 0.9
 #: Share of a block's text inside links above which it is a list of links.
 LINKS = 0.6
 
 
 class _Node:
-    __slots__ = ("path", "text", "linked", "heading", "inside")
+    __slots__ = ("element", "path", "text", "linked", "heading", "inside")
 
-    def __init__(self, path: str, heading: bool, inside: int):
-        self.path, self.text, self.linked, self.heading, self.inside = path, [], 0, heading, inside
+    def __init__(self, element: int, path: int, heading: bool, inside: int):
+        self.element, self.path, self.text, self.linked, self.heading, self.inside = element, path, [], 0, heading, inside
 
 
-def blocks(page: str) -> list[_Node]:
-    """The text blocks outside of furniture, in page order, each with its root-to-leaf path of block tags."""
-    out: list[_Node] = []
-    stack: list[str] = []  # open elements that are no inline elements
+class Page:
+    """A page's text blocks outside of furniture, in page order, and its open elements and tag paths.
+
+    Elements and paths are numbers; parents[e] and path_parents[p] are those one level up (0, the page, is its own), and
+    holders[c] is the article or main element around the article or main element c (0: none)."""
+
+    def __init__(self) -> None:
+        self.nodes: list[_Node] = []
+        self.parents, self.path_parents, self.holders = [0], [0], [0]
+        self._paths: dict[tuple[int, str], int] = {}
+
+    def element(self, parent: int, path: int, name: str) -> tuple[int, int]:
+        """A new element below parent: its number and its path."""
+        own = self._paths.get((path, name))
+        if own is None:
+            own = self._paths[path, name] = len(self.path_parents)
+            self.path_parents.append(path)
+        self.parents.append(parent)
+        return len(self.parents) - 1, own
+
+
+def blocks(page: str) -> Page:
+    """Read a page, which may be broken in any way, from its first to its last character."""
+    out = Page()
+    stack: list[tuple[str, int, int]] = []  # open elements that are no inline elements: tag, element, path
+    opened: dict[str, int] = {}  # how many of a tag are open
     containers: list[tuple[int, int]] = []  # (depth, number) of the open article or main elements
-    numbers = links = skip = 0  # skip: depth of the furniture element that is open, from 1
+    links = skip = 0  # skip: depth of the furniture element that is open, from 1
     node: _Node | None = None
     at, n = 0, len(page)
 
     def close(depth: int) -> None:
         nonlocal skip
-        del stack[depth:]
+        while len(stack) > depth:
+            opened[stack.pop()[0]] -= 1
         if skip > depth:
             skip = 0
         while containers and containers[-1][0] >= depth:
@@ -70,9 +97,9 @@ def blocks(page: str) -> list[_Node]:
         if node is None:
             if text.isspace():
                 return
-            heading = any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t in stack[-2:])
-            node = _Node("/".join(stack), heading, containers[-1][1] if containers else 0)
-            out.append(node)
+            heading = any(t[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for t in stack[-2:])
+            node = _Node(stack[-1][1] if stack else 0, stack[-1][2] if stack else 0, heading, containers[-1][1] if containers else 0)
+            out.nodes.append(node)
         node.text.append(text)
         if links:
             node.linked += len(text)
@@ -97,8 +124,11 @@ def blocks(page: str) -> list[_Node]:
                 links = max(0, links - 1)
             elif name not in INLINE:
                 node = None
-                if name in stack and name not in ("html", "body"):
-                    close(len(stack) - 1 - stack[::-1].index(name))
+                if opened.get(name) and name not in ("html", "body"):
+                    depth = len(stack) - 1
+                    while stack[depth][0] != name:
+                        depth -= 1
+                    close(depth)
             continue
         if not m[2]:
             if m[0].startswith("<![CDATA["):
@@ -124,11 +154,13 @@ def blocks(page: str) -> list[_Node]:
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack:
             # An unclosed paragraph or item ends where the next begins; any block ends a paragraph.
             same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
-            if stack[-1] in same:
+            if stack[-1][0] in same:
                 close(len(stack) - 1)
-        if stack and stack[-1] == "p":
+        if stack and stack[-1][0] == "p":
             close(len(stack) - 1)
-        stack.append(name)
+        above = stack[-1] if stack else ("", 0, 0)
+        stack.append((name, *out.element(above[1], above[2], name)))
+        opened[name] = opened.get(name, 0) + 1
         if not skip:
             attributes: dict[str, str] = {}
             for k, v in _ATTRIBUTE.findall(m[3]) if m[3] else ():
@@ -141,69 +173,97 @@ def blocks(page: str) -> list[_Node]:
             if name not in ("article", "main", "body", "html") and (furniture or "hidden" in attributes or marked):
                 skip = len(stack)
             elif name in ("article", "main"):
-                numbers += 1
-                containers.append((len(stack) - 1, numbers))
+                out.holders.append(containers[-1][1] if containers else 0)
+                containers.append((len(stack) - 1, len(out.holders) - 1))
     return out
 
 
-def smooth(values: np.ndarray, radius: int = 1) -> np.ndarray:
-    """Mean over each value and its neighbours."""
-    kernel = np.ones(2 * radius + 1)
-    return np.convolve(values, kernel, "full")[radius : radius + len(values)] / np.convolve(np.ones(len(values)), kernel, "full")[radius : radius + len(values)]
-
-
-def path_scores(nodes: list[tuple[str, int, int]]) -> dict[str, float]:
-    """The fused score of each path of (path, text length, punctuation) nodes: text and
-    punctuation per node of the path, smoothed over the page, times each other, 0 to 1 by logarithms."""
-    totals: dict[str, list[int]] = {}
-    for path, size, marks in nodes:
-        t = totals.setdefault(path, [0, 0, 0])
-        t[0] += size
-        t[1] += marks
-        t[2] += 1
-    text = np.array([totals[p][0] / totals[p][2] for p, _, _ in nodes])
-    marks = np.array([totals[p][1] / totals[p][2] for p, _, _ in nodes])
-    fused = np.log1p(smooth(text) * (1 + smooth(marks)))
-    sums: dict[str, list[float]] = {}
-    for (path, _, _), f in zip(nodes, fused.tolist()):
-        s = sums.setdefault(path, [0.0, 0])
-        s[0] += f
-        s[1] += 1
-    top = max(s / n for s, n in sums.values())
-    return {p: (s / n) / top if top else 0.0 for p, (s, n) in sums.items()}
+def path_scores(nodes: list[tuple[int, int, int, int]], path_parents: list[int]) -> dict[int, float]:
+    """The score of each path of (path, text length, punctuation, text length in links) nodes in page order.
+
+    The ratios of a path, text and punctuation per node, are fused as the logarithm of their product and lowered by the path's share
+    of links; nodes are smoothed with the ones before and behind, if of the same or a sibling path."""
+    totals: dict[int, list[int]] = {}
+    for path, size, marks, linked in nodes:
+        t = totals.setdefault(path, [0, 0, 0, 0])
+        for k, v in enumerate((size, marks, linked, 1)):
+            t[k] += v
+    fused = {p: math.log1p(t / n) + math.log1p(m / n) for p, (t, m, _, n) in totals.items()}
+    fused = {p: v * (1 - min(1.0, totals[p][2] / max(1, totals[p][0]))) for p, v in fused.items()}
+    sums = dict.fromkeys(totals, 0.0)
+    for i, (path, *_) in enumerate(nodes):
+        total, weight = fused[path], 1.0
+        for j in (i - 1, i + 1):
+            if 0 <= j < len(nodes):
+                other = nodes[j][0]
+                w = 1.0 if other == path else SIBLING if path_parents[other] == path_parents[path] and path and other else 0.0
+                total, weight = total + w * fused[other], weight + w
+        sums[path] += total / weight
+    return {p: v / totals[p][3] for p, v in sums.items()}
+
+
+def content(nodes: list[tuple[int, int, int, int]], path_parents: list[int]) -> list[bool]:
+    """Whether each node's path reaches THRESHOLD of the mean score."""
+    scores = path_scores(nodes, path_parents)
+    size = sum(n[1] for n in nodes)
+    mean = sum(scores[n[0]] * n[1] for n in nodes) / max(1, size)
+    return [scores[n[0]] >= THRESHOLD * mean for n in nodes]
+
+
+def main_element(parents: list[int], found: list[tuple[int, int]]) -> tuple[int, int]:
+    """(first, last) number of the deepest element, and all within it, that holds MAIN of the (element, text length) found."""
+    mass, last = [0] * len(parents), list(range(len(parents)))
+    for element, size in found:
+        mass[element] += size
+    total = sum(mass)
+    for e in range(len(parents) - 1, 0, -1):
+        mass[parents[e]] += mass[e]
+        last[parents[e]] = max(last[parents[e]], last[e])
+    best = max((e for e in range(len(parents)) if mass[e] >= MAIN * total), default=0)  # they hold one another
+    return best, last[best]
 
 
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks joined by one line feed, "" if there is none."""
     if not page:
         return ""
+    read = blocks(page)
     found = []
-    for node in blocks(page):
+    for node in read.nodes:
         text = _SPACE.sub(" ", "".join(map(htmllib.unescape, node.text))).strip()
         if text:
             found.append((node, text))
     if not found:
         return ""
-    # An article element holds the whole article; without one all blocks outside of furniture compete.
-    inside = [x for x in found if x[0].inside]
-    chosen = inside or found
-    scores = path_scores([(x.path, len(t), len(_MARKS.findall(t))) for x, t in chosen])
-    keep = []
-    for node, text in chosen:
-        linked = node.linked > LINKS * sum(map(len, node.text)) and not node.inside
-        keep.append(not linked and (scores[node.path] >= THRESHOLD or node.heading))
-    if not inside:  # a heading stands before content, else it belongs to what was cut
-        content = [k and not node.heading for k, (node, _) in zip(keep, chosen)]
-        for i, (node, _) in enumerate(chosen):
-            if node.heading and keep[i]:
-                keep[i] = any(content[i + 1 : i + 4])
-    return "\n".join([text for k, (_, text) in zip(keep, chosen) if k])
+    measured = [(x.path, len(t), len(_MARKS.findall(t)), min(x.linked, len(t))) for x, t in found]
+    linked = [x.linked > LINKS * sum(map(len, x.text)) for x, _ in found]
+    good = [ok and not link for ok, link in zip(content(measured, read.path_parents), linked)]
+    if any(x.inside for x, _ in found):
+        # Article elements come out whole, if they or those within them hold content; if none does, all of them.
+        kept = {x.inside for (x, _), ok in zip(found, good) if ok and x.inside} or {x.inside for x, _ in found if x.inside}
+        for c in range(len(read.holders) - 1, 0, -1):
+            if c in kept:
+                kept.add(read.holders[c])
+        return "\n".join([t for x, t in found if x.inside and x.inside in kept])
+    places = [i for i, ok in enumerate(good) if ok]
+    if not places:
+        return ""
+    first, last = main_element(read.parents, [(found[i][0].element, len(found[i][1])) for i in places])
+    keep = [False] * len(found)
+    inside = [i for i in places if first <= found[i][0].element <= last]
+    for i in range(inside[0], inside[-1] + 1):
+        keep[i] = good[i] or not linked[i] and first <= found[i][0].element <= last
+    for i, (node, _) in enumerate(found):  # a heading stands before content, else it belongs to what was cut
+        if node.heading:
+            keep[i] = not linked[i] and any(good[j] and keep[j] and not found[j][0].heading for j in range(i + 1, min(i + 4, len(found))))
+    return "\n".join([t for k, (_, t) in zip(keep, found) if k])
 
 
 def extract(pages: DataFrame, html: str = "html", carry: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The carried columns, text and n_chars (code points) of each page, one row per row of pages.
 
-    The whole html is read; null or empty html gives "" and 0. Keys may be null or repeat.
+    The whole html is read, however long or deep; null or empty html gives "" and 0. Keys may be null or repeat,
+    and repeated pages are rows of their own.
     """
     light_batches(pages.sparkSession)
     source = pick(pages, **{f"k{i}": c for i, c in enumerate(carry)}, html=html)

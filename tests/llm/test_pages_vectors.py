@@ -48,7 +48,8 @@ PAGES = "page_id long, url string, html string, text string, HTML string, digest
 def test_extract_keeps_rows(spark):
     rows = [(1, "u", PAGE, "x", "y", "z", 1), (1, "u", PAGE, "x", "y", "z", 1), (None, None, None, None, None, None, None), (2, None, "", "", "", "", 2)]
     got = html_text.extract(spark.createDataFrame(rows, PAGES)).collect()
-    assert sorted(r["n_chars"] for r in got) == [0, 0, got[0]["n_chars"] or max(r["n_chars"] for r in got), max(r["n_chars"] for r in got)]
+    said = "Head & line\nFirst paragraph, with <marks> and café.\nSecond paragraph, longer than the first one.\nAn item, too."
+    assert sorted((str(r["page_id"]), r["url"], r["text"], r["n_chars"]) for r in got) == sorted([("1", "u", said, len(said))] * 2 + [("None", None, "", 0), ("2", None, "", 0)], key=lambda r: (r[0], r[2]))
     assert html_text.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
@@ -166,3 +167,45 @@ def test_containers_with_loosely_matching_attributes_stay(start, end):
 @pytest.mark.parametrize("start", ["<div hidden>", "<div hidden=''>", "<div class='x sidebar'>", "<div id=comments>", "<div class='site-footer'>"])
 def test_furniture_still_goes(start):
     assert html_text.main_text(f"<body><p>One sentence, as it is.</p>{start}<p>Some other words, here.</p></div>") == "One sentence, as it is."
+
+
+PROSE = ["The river rose by two metres in the night, and the lower road was closed before dawn.", "Nobody was hurt, the mayor said, but forty houses lost power, some of them until the evening.", "Is that all? It is not: the bridge, built in 1931, has to be looked at first, stone by stone."]
+BARE = [
+    # A page of plain div elements: a menu, the text, a line of rights.
+    ("<body><div>Home</div><div>News</div><div>Sport</div><div>Contact us</div><div><div><p>" + "</p><p>".join(PROSE) + "</p></div></div><div>Copyright 2024 Example</div></body>", PROSE),
+    # A short paragraph and an unlinked list between long paragraphs stay.
+    ("<body><table><tr><td>Login</td><td>Register</td><td>Help</td></tr></table><section><p>" + PROSE[0] + "</p><p>Yes.</p><ul><li>one</li><li>two</li></ul><p>" + PROSE[1] + "</p></section><div>All rights reserved</div></body>", [PROSE[0], "Yes.", "one", "two", PROSE[1]]),
+    # A heading before the text, another over a list of sections.
+    ("<body><div><span>Mon 3 May</span></div><div><h1>Flood</h1><p>" + "</p><p>".join(PROSE) + "</p></div><div><h3>More</h3><ul><li>Weather</li><li>Traffic</li><li>Jobs</li></ul></div></body>", ["Flood", *PROSE]),
+    # Text without paragraph elements, beside a narrow column of words.
+    ("<html><body><table><tr><td>Start<td><dl>" + "".join(f"<dd>Entry {k}" for k in range(20)) + "</dl></table><center><blockquote>" + " ".join(PROSE) + "</blockquote><blockquote>" + PROSE[1] + "</blockquote></center><div>top</div>", [" ".join(PROSE), PROSE[1]]),
+]
+
+
+@pytest.mark.parametrize("page, said", BARE)
+def test_ratios_decide_where_no_name_does(page, said, monkeypatch):
+    assert html_text.main_text(page) == "\n".join(said)
+    monkeypatch.setattr(html_text, "path_scores", lambda nodes, parents: {n[0]: 1.0 for n in nodes})
+    assert html_text.main_text(page) != "\n".join(said), "without the ratios furniture comes in"
+
+
+def test_cards_are_no_articles():
+    cards = "".join(f"<article><h3><a href=x>Card {k}</a></h3><p><a href=x>Read</a></p></article>" for k in range(5))
+    page = f"<body><main><h1>Flood</h1><article><p>{'</p><p>'.join(PROSE)}</p><p>Yes.</p></article></main>{cards}</body>"
+    assert html_text.main_text(page) == "\n".join(["Flood", *PROSE, "Yes."])
+
+
+@pytest.mark.parametrize("tag", ["div", "article", "section", "p", "li", "b", "table"])
+def test_very_deep_pages(tag):
+    import time
+    import tracemalloc
+
+    page = "<body>" + f"<{tag}>" * 100_000 + PROSE[0] + f"</{tag}>" * 50_000 + "</x>" * 50_000 + "</body>"
+    start = time.perf_counter()
+    got = html_text.main_text(page)
+    seconds = time.perf_counter() - start
+    tracemalloc.start()
+    html_text.main_text(f"<{tag}>" * 10_000 + PROSE[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == PROSE[0] and seconds < 10 and peak < 20e6
