@@ -140,6 +140,47 @@ def test_hnsw_recall_and_edges(spark, monkeypatch):
     assert [k for _, k, _ in sorted(by[0])] == list(range(5000, 5010)), "of equal vectors those with the smallest ids"
 
 
+def test_hnsw_repeated_ids_are_rows_of_their_own(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).astype("float32").tolist()) for i in range(1, 60)]
+    a, b = rng.normal(size=8).astype("float32").tolist(), rng.normal(size=8).astype("float32").tolist()
+    rows += [(100, a), (100, b), (100, b), (200, a)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = hnsw.search(hnsw.build_index(df), df.where("vec_id % 100 = 0")).collect()
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got)
+    vectors = [(k, np.array(v, float)) for k, v in rows]
+    expected = []
+    for i, (k, v) in enumerate(vectors):
+        if k % 100 == 0:
+            near = sorted((float(np.sqrt(((v - w) ** 2).sum())), m) for j, (m, w) in enumerate(vectors) if j != i)[:10]
+            expected += [(k, n + 1, m, round(s, 9)) for n, (s, m) in enumerate(near)]
+    assert found == sorted(expected)
+
+
+def test_hnsw_refuses_more_than_the_index_holds(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(ValueError):
+        hnsw.search(hnsw.build_index(df, keep=5), df, k=5)
+
+
+@pytest.mark.parametrize("spread", [0.2, 1.0, 100.0])
+def test_hnsw_routing_keeps_recall(spark, spread):
+    """Clustered vectors need few cells, unstructured ones many: the index finds out."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(20, 12))[rng.integers(0, 20, 3000)] * 3 + rng.normal(size=(3000, 12)) * spread
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    index = hnsw.build_index(df, shard=200)
+    got = {}
+    for r in hnsw.search(index, df.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 3000, 100):
+        d = ((vectors - vectors[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & got[q])
+    assert hits / 300 >= 0.9 and (spread > 0.5 or index.coarse[12][1] <= 4)
+
+
 def test_hnsw_empty(spark):
     df = spark.createDataFrame([], VECTORS)
     assert hnsw.search(hnsw.build_index(df), df).count() == 0
