@@ -41,8 +41,8 @@ def detect(samples: DataFrame, rate: float, thresholds: tuple[float, ...], *, hi
         ratio[(at < guard) | (at >= n - guard)] = 0
         out = []
         for t in thresholds:
-            for a, b in k.merge(k.runs(ratio > t), width).tolist():
-                c, d = k.localise(bent, a, b, SIGMAS * sigma, width)
+            spans = k.merge(k.runs(ratio > t), width)
+            for c, d in k.localise(bent, spans, SIGMAS * sigma, width).tolist():
                 if d - c <= width and lo <= c < hi:
                     out.append((float(t), start + c, start + d, float(np.abs(high[c:d]).max())))
         return out
@@ -55,17 +55,18 @@ def confirm(samples: DataFrame, events: DataFrame, factor: float, partials: int
     blocks = with_events(to_blocks(samples, 4 * margin, 4 * margin, block), events, 4 * margin, block)
 
     def one(x, start, lo, hi, n, events):
-        out = []
+        by: dict[int, list] = {}  # segments of one length are taken together
         for e in events or []:
             a, b = e["start_idx"] - start, e["end_idx"] - start
-            if not lo <= a < hi:
-                continue
             c, d = max(0, a - margin), min(len(x), b + margin)
-            if d - c < 32:
-                continue
-            rest = k.sinusoidal_residual(x[c:d], partials)
-            if np.abs(rest[a - c : max(a - c + 1, b - c)]).max() > factor * rest.std():
-                out.append((e["start_idx"], e["end_idx"]))
+            if lo <= a < hi and d - c >= 32:
+                by.setdefault(d - c, []).append((c, a - c, max(a - c + 1, b - c), e))
+        out = []
+        for size, found in by.items():
+            rest = k.sinusoidal_residual(np.stack([x[c : c + size] for c, *_ in found]), partials)
+            for row, spread, (_, a, b, e) in zip(np.abs(rest), rest.std(1), found):
+                if row[a:b].max() > factor * spread:
+                    out.append((e["start_idx"], e["end_idx"]))
         return out
 
     return map_blocks(blocks, one, "start_idx long, end_idx long").join(events, [KEY, "start_idx", "end_idx"])
