@@ -48,6 +48,13 @@ def spread_events(events: DataFrame, samples: DataFrame) -> DataFrame:
     return events.join(channels, KEY).select(F.concat_ws(_MARK, KEY, F.col("channel").cast("string")).alias(KEY), "start_idx", "end_idx")
 
 
+def repair_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(recording_id, changed, total): frames in which a repair changed any channel."""
+    was = before.select(KEY, "channel", "idx", F.col("v").alias("was"))
+    frames = after.join(was, [KEY, "channel", "idx"]).groupBy(KEY, "idx").agg(F.max(F.col("v") != F.col("was")).alias("changed"))
+    return frames.groupBy(KEY).agg(F.count_if("changed").alias("changed"), F.count(F.lit(1)).alias("total"))
+
+
 @dataclass
 class Result:
     """tracks: (recording_id, track_index, channel, idx, v); gains; stages: (stage, status, params digest, detail)."""
@@ -56,6 +63,8 @@ class Result:
     gains: DataFrame
     tags: DataFrame
     events: dict[str, DataFrame] = field(default_factory=dict)
+    #: By repair stage: (recording_id, changed, total), counted over frames.
+    repairs: dict[str, DataFrame] = field(default_factory=dict)
     stages: list[tuple[str, str, str, str]] = field(default_factory=list)
     rate: int = 0
 
@@ -63,14 +72,15 @@ class Result:
 def execute(samples: DataFrame, plan: dict, lengths: DataFrame | None = None) -> Result:
     """Run a plan. Disabled stages are left out and recorded as skipped; what an algorithm cannot honour is refused.
 
+    Nothing is written: export and metadata are recorded as pending, until render writes the tracks.
     With lengths (recording_id, n) the plan's positions are shares of its num_samples, laid over each recording's n samples.
     """
     plan = complete(plan)
     rate, out = plan["source"]["sample_rate"], Result(samples, None, None)
 
-    def done(stage: str, detail: str = "", ran: bool = True) -> None:
+    def done(stage: str, detail: str = "", ran: bool = True, status: str = "applied") -> None:
         section = plan.get({"resample": "export"}.get(stage, stage), {})
-        out.stages.append((stage, "applied" if ran else "skipped", digest_json({k: v for k, v in section.items() if k != "decision"}), detail))
+        out.stages.append((stage, status if ran else "skipped", digest_json({k: v for k, v in section.items() if k != "decision"}), detail))
 
     samples = _prefilter(samples, plan["prefilter"], rate, done)
     samples = _declick(samples, plan["declick"], rate, out, done)
@@ -81,9 +91,9 @@ def execute(samples: DataFrame, plan: dict, lengths: DataFrame | None = None) ->
     tracks, out.gains = _normalize(tracks, plan["normalize"], rate, done)
     tracks, out.rate = _resample(tracks, plan["export"], rate, done)
     out.tracks = tracks
-    done("export", f"{plan['export']['format']} {plan['export']['bit_depth']} bit")
+    done("export", "no file is written yet", status="pending")
     out.tags = _tags(samples.sparkSession, plan)
-    done("metadata", ran=plan["metadata"]["enabled"])
+    done("metadata", "no tag is written yet", ran=plan["metadata"]["enabled"], status="pending")
     return out
 
 
@@ -123,6 +133,7 @@ def _declick(samples: DataFrame, p: dict, rate: int, out: Result, done) -> DataF
     order = 3 * max(1, round(p["max_click_width_ms"] / 1000 * rate)) + 2
     fixed = cl.repair(by_channel(samples), spread_events(events, samples), params.get("repair", "hermite"), p["strength"], order=order, context=max(2048, 8 * order))
     done("declick", f"threshold {p['threshold']}")
+    out.repairs["declick"] = repair_counts(samples, from_channels(fixed))
     return from_channels(fixed)
 
 
@@ -138,7 +149,9 @@ def _decrackle(samples: DataFrame, p: dict, rate: int, out: Result, done) -> Dat
     events = ev.crackle(fr.curvature_ratio(_mono(samples), context), p["threshold"], p["max_event_width_samples"])
     out.events["decrackle"] = events
     done("decrackle", f"threshold {p['threshold']}")
-    return from_channels(cl.repair(by_channel(samples), spread_events(events, samples), "hermite", p["strength"]))
+    fixed = from_channels(cl.repair(by_channel(samples), spread_events(events, samples), "hermite", p["strength"]))
+    out.repairs["decrackle"] = repair_counts(samples, fixed)
+    return fixed
 
 
 def _mono_merge(samples: DataFrame, p: dict, rate: int, done) -> DataFrame:
@@ -175,7 +188,8 @@ def _split(samples: DataFrame, p: dict, source: dict, ratio, rate: int, done, le
     rows = [(t["index"], place(t["start_sample"]), place(t["end_sample"]), round(t.get("fade_in_ms", 0) / 1000 * rate), round(t.get("fade_out_ms", 0) / 1000 * rate)) for t in p["tracks"]]
     spans = samples.sparkSession.createDataFrame(rows, "track_index int, start_idx long, end_idx long, fade_in int, fade_out int")
     if lengths is None:
-        spans = samples.select(KEY).distinct().join(F.broadcast(spans))  # the plan's tracks: a short list
+        # The plan's tracks alone are a short list; what they make with the recordings grows with these.
+        spans = samples.select(KEY).distinct().join(F.broadcast(spans))
     else:
         long = F.col("n") if ratio is None else F.expr(f"(n * {ratio.numerator} + {ratio.denominator - 1}) div {ratio.denominator}")
         spans = lengths.select(KEY, long.alias("long")).join(F.broadcast(spans))

@@ -219,3 +219,38 @@ def test_registered_plan_covers_whole_recordings(spark):
     assert min(n.values()) > 1000
     got = {(r["recording_id"], r["track_index"]): r["n"] for r in queries.execute_plan(spark, sf_dir).collect()}
     assert got == {(k, i): b * m // 1000 - a * m // 1000 for k, m in n.items() for i, a, b in queries.PLAN_TRACKS}
+
+
+def test_render_writes_measures_and_verifies(spark, tmp_path):
+    from sigspark.plans import render as rd
+
+    rng = np.random.default_rng(2)
+    x = np.stack([0.3 * np.sin(np.arange(6000) * 0.05), 0.29 * np.sin(np.arange(6000) * 0.05)], 1) + 1e-4 * rng.normal(size=(6000, 2))
+    x[[1500, 3300]] += 0.2
+    plan = {
+        "source": {"sample_rate": 2000, "channels": 2, "num_samples": 6000}, "prefilter": {"enabled": False}, "declick": {"enabled": False}, "decrackle": {"enabled": True, "threshold": 8.0},
+        "split": {"tracks": [{"index": 1, "start_sample": 100, "end_sample": 3000}, {"index": 2, "start_sample": 3000, "end_sample": 5900}]},
+        "normalize": {"mode": "album_peak", "target_db": -1.0, "peak_ceiling_db": -0.5}, "export": {"format": "wav", "bit_depth": 16, "dither": "none"}, "metadata": {"enabled": False},
+    }
+    samples, folder = synth.frame(spark, x), str(tmp_path / "out")
+    pending = {stage: status for stage, status, _, _ in execute(samples, plan).stages}
+    assert pending["export"] == "pending", "nothing is written, so nothing is recorded as applied"
+    manifest = rd.render(samples, plan, folder, "s" * 64)
+    stages = {x["stage"]: x for x in manifest["stages"]}
+    assert manifest["outputs"] == 2 and stages["export"]["status"] == "applied" and not manifest["warnings"]
+    assert "repaired" in stages["decrackle"]["detail"] and "1 in " in stages["decrackle"]["detail"]
+    out = spark.read.parquet(f"{folder}/outputs").orderBy("track_index").collect()
+    import hashlib
+
+    for r in out:
+        with open(r["path"], "rb") as f:
+            assert hashlib.sha256(f.read()).hexdigest() == r["sha256"]
+        assert r["num_samples"] == 2900 and r["over"] == 0 and not r["tagged"]
+    assert max(r["true_peak_db"] for r in out) == manifest["applied_true_peak_db"] <= -0.5 + 1e-3
+    repairs = spark.read.parquet(f"{folder}/repairs").collect()
+    assert [(r["stage"], r["total"]) for r in repairs] == [("decrackle", 6000)] and 2 <= repairs[0]["changed"] <= 20
+    with pytest.raises(rd.RenderError):
+        rd.render(samples, plan, folder, "s" * 64)
+    assert {r["status"] for r in rd.verify(samples, folder, str(tmp_path / "again"), "s" * 64).collect()} == {"same"}
+    with pytest.raises(rd.RenderError):
+        rd.verify(samples, folder, str(tmp_path / "fourth"), "t" * 64)
