@@ -27,15 +27,13 @@ RADIUS = 22
 BANDS, ROWS = 40, 6
 #: Texts of a gathered set that one block holds, about.
 BLOCK = 256
-_MIX = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: A multiplier for each minimum. 32 bits order shingles well enough: minima that meet by chance add candidates and lose none.
+_MIX = (mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; a text of fewer words is one shingle, without words none."""
-    return _hashes(simhash.shingle_digests(text, SHINGLE))
-
-
-def _hashes(digests: list[bytes]) -> np.ndarray:
+    digests = simhash.shingle_digests(text, SHINGLE)
     return np.unique(np.frombuffer(b"".join(digests), ">u8").astype(np.uint64))
 
 
@@ -43,13 +41,15 @@ def bands(own: np.ndarray) -> np.ndarray:
     """One hash for each band of minima, as signed 64-bit numbers; a text without shingles has none."""
     if not len(own):
         return np.zeros(0, np.int64)
-    least = np.full(len(_MIX), np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(len(_MIX), np.iinfo(np.uint32).max, np.uint32)
+    folded = (own ^ (own >> np.uint64(32))).astype(np.uint32)
     for at in range(0, len(own), 512):
-        # Odd multipliers alone keep order too well: the high half is folded in before.
-        part = own[at : at + 512]
-        mixed = (part ^ (part >> np.uint64(32)))[None, :] * _MIX[:, None]
-        np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(1), out=least)
-    rows = mix64(least).reshape(BANDS, ROWS)
+        # Odd multipliers alone keep order too well: a second one follows after the high half is folded in.
+        mixed = folded[None, at : at + 512] * _MIX[:, None]
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= np.uint32(0x2C1B3C6D)
+        np.minimum(least, mixed.min(1), out=least)
+    rows = mix64(least.astype(np.uint64)).reshape(BANDS, ROWS)
     out = np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
         out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
@@ -97,9 +97,8 @@ def _prints(docs: DataFrame, text: str, key: str, row: str) -> DataFrame:
         for batch in (b.slice(i, j - i) for b in batches for i, j in groups(utf8_view(b.column(2))[0])):
             fps, digests, found = [], [], []
             for value in batch.column(2):
-                every = simhash.shingle_digests(value.as_py(), SHINGLE)
-                fps.append(simhash.majority(sorted(set(every))))
-                own = _hashes(every)
+                own = shingles(value.as_py())
+                fps.append(simhash.majority_of(own.astype(">u8").view(np.uint8).reshape(-1, 8)))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 found.append(bands(own))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)

@@ -43,9 +43,13 @@ def shingle_digests(text: str | None, shingle: int = SHINGLE) -> list[bytes]:
 
 def majority(digests: list[bytes]) -> int:
     """The fingerprint of these digests: the bits that over half of them have, as a signed 64-bit number."""
-    if not digests:
+    return majority_of(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8))
+
+
+def majority_of(hashes: np.ndarray) -> int:
+    """majority of digests given as rows of eight bytes."""
+    if not len(hashes):
         return 0
-    hashes = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         ones += np.unpackbits(hashes[at : at + (1 << 15)], axis=1).sum(0, dtype=np.int64)
