@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut, groups, light_batches, mix64, pick, utf8_view
+from .common import cut, drop, groups, light_batches, mix64, pick, utf8_view
 from .graph import components
 
 #: Words of a shingle; least similarity of near copies.
@@ -169,7 +169,8 @@ def _linked(dealt: DataFrame, by: list[str], keep_rest: bool) -> DataFrame:
 
 
 def _verified(texts: DataFrame) -> DataFrame:
-    """(a, b) of texts (node, root, n, lead, text): links within each root's n texts; lead is its smallest node."""
+    """(a, b) of texts (node, root, n, lead, text): links within each root's n texts; lead is its smallest node.
+    texts are a stored table: they are read up to three times."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
     upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     mine = lambda c: F.array(F.pmod(F.xxhash64("node"), F.col(c)))
@@ -181,7 +182,7 @@ def _verified(texts: DataFrame) -> DataFrame:
     if not rest.limit(1).count():
         return links
     # Then what its block did not tie to the lead, in chunks, with every block.
-    rest = cut(found.select("node", "root").join(rest.hint("merge"), "node"), "rest")
+    rest = cut(texts.select("node", "root").join(rest.hint("merge"), "node"), "rest")
     chunks = cut(rest.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("chunks")), "chunks")
     far = found.join(chunks, "root").join(rest.select("node", F.lit(True).alias("far")), "node", "left")
     part = lambda chunk, block: F.struct(chunk.alias("chunks"), block.alias("blocks"))
@@ -193,22 +194,27 @@ def _verified(texts: DataFrame) -> DataFrame:
 
 
 def dropped(docs: DataFrame, text: str, key: str, row: str = "row") -> DataFrame:
-    """The rows (row) of docs that are near copies of one with a smaller key; row is unique, and docs are a stored table:
-    they are read several times."""
+    """The rows (row) of docs that are near copies of one with a smaller key, as a written table; row is unique, and docs
+    are a stored table: they are read several times."""
     prints = cut(_prints(docs, text, key, row), "prints")
     nodes = cut(prints.groupBy("print").agg(F.min("key").alias("rep"), F.min("row").alias("node"), F.min("fp").alias("fp")), "nodes")  # equal sets have equal fingerprints
-    # Only one row of each set of shingles is compared.
+    # Only one row of each set of shingles is compared. Sets that share a fingerprint repeat it in a cell, which does no harm.
     single = prints.join(nodes.select(F.col("node").alias("row")).hint("merge"), "row").select("fp", F.posexplode("bands").alias("space", "cell"))
-    cells = cut(single.distinct().withColumn("home", F.lit(True)), "bands")
-    near = cut(components(simhash.links(cells.select("fp").distinct(), RADIUS, cells)), "gathered")
+    cells = cut(single.withColumn("home", F.lit(True)), "bands")
+    near = cut(components(simhash.links(nodes.select("fp"), RADIUS, cells)), "gathered")
+    drop(cells)
     placed = nodes.select("node", "fp").join(near.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
     placed = cut(placed.select("node", F.coalesce("root", "fp").alias("root")), "placed")
     size = cut(placed.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1"), "sized")
     gathered = placed.join(size.hint("merge"), "root")
-    source = pick(docs, node=row, text=text)
-    links = cut(_verified(source.join(gathered.hint("merge"), "node")), "verified")
+    texts = cut(pick(docs, node=row, text=text).join(gathered.hint("merge"), "node"), "texts")
+    links = cut(_verified(texts), "verified")
+    drop(texts)
     roots = cut(components(links), "roots")
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = cut(named.groupBy("root").agg(F.min("rep").alias("best")), "best")
     classes = cut(named.join(best, "root").select("print", "best"), "classes")
-    return prints.select("key", "row", "print").join(classes, "print").where(F.col("key") != F.col("best")).select("row")
+    out = cut(prints.select("key", "row", "print").join(classes, "print").where(F.col("key") != F.col("best")).select("row"), "dropped")
+    for made in (prints, nodes, near, placed, size, links, roots, best, classes):
+        drop(made)
+    return out
